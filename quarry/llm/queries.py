@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import byte_bpe, media_columns
 from .substring_dedup import substring_dedup
 
 
@@ -19,9 +20,35 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media_columns.text_to_media(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    out = media_columns.media_features(stored)
+    length = F.octet_length("payload").cast("long")
+    return out.select(
+        "doc_id", "n_bytes", length.alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), "media_bytes", "media_sha256",
+        F.lower(F.hex("low_frequency")).alias("feature"), "error",
+    )
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    ranks = byte_bpe.load_ranks(spark, vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids = byte_bpe.bpe_encode(_documents(spark, sf_dir).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    out = byte_bpe.bpe_decode(ids.drop("text"), ranks)
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_media_columns": op3_media_columns,
+        "op8_byte_bpe": op8_byte_bpe,
     }
 
 
