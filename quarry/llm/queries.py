@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, media_columns
+from . import byte_bpe, language_id, media_columns, pii, secret_scan
 from .substring_dedup import substring_dedup
 
 
@@ -31,6 +31,33 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_documents(spark, sf_dir).select("doc_id", "text"), spans_col="found")
+    base = F.filter("found", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id", *[F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(line(base), 256).alias("base_sha256"), line(F.col("found")).alias("spans"),
+    )
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    found = secret_scan.scan_secrets(docs, secret_scan.control(docs)).drop("text")
+    count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])],
+        F.sha2(secret_scan.as_text(F.col("base_spans")), 256).alias("base_sha256"), secret_scan.as_text(F.col("secret_spans")).alias("spans"),
+    )
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = language_id.fit_on_documents(docs)
+    rows = docs.select("doc_id", "text", language_id.held_out().alias("held_out"))
+    return language_id.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -48,7 +75,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
         "op3_media_columns": op3_media_columns,
+        "op7_pii": op7_pii,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_secret_scan": op9_secret_scan,
+        "op10_language_id": op10_language_id,
     }
 
 
