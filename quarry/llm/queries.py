@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, language_id, media_columns, pii, secret_scan
+from .exact_topk import exact_topk
 from .substring_dedup import substring_dedup
 
 
@@ -31,6 +32,11 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return exact_topk(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_documents(spark, sf_dir).select("doc_id", "text"), spans_col="found")
     base = F.filter("found", lambda s: s["kind"].isin(*pii.BASE_KINDS))
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
         "op3_media_columns": op3_media_columns,
+        "op4_exact_topk": op4_exact_topk,
         "op7_pii": op7_pii,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_secret_scan": op9_secret_scan,
@@ -83,4 +90,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_exact_topk": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            ), s AS (
+                SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(generate_series(1, len(q.v)), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+                FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+                WHERE q.vec_id % 100 = 0
+            )
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+            FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
+    }
