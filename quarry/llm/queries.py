@@ -41,8 +41,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_documents(spark, sf_dir).select("doc_id", "text"), spans_col="found")
     base = F.filter("found", lambda s: s["kind"].isin(*pii.BASE_KINDS))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
-        "doc_id", *[F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS],
+        "doc_id", *[count(k).alias(f"n_{k}") for k in pii.BASE_KINDS],
         F.sha2(line(base), 256).alias("base_sha256"), line(F.col("found")).alias("spans"),
     )
 
