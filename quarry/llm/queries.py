@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, language_id, media_columns, pii, secret_scan
 from .exact_topk import exact_topk
+from .line_dedup import line_dedup
 from .substring_dedup import substring_dedup
 
 
@@ -37,6 +38,11 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", F.col("n_lines_removed").alias("n_removed"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_documents(spark, sf_dir).select("doc_id", "text"), spans_col="found")
     base = F.filter("found", lambda s: s["kind"].isin(*pii.BASE_KINDS))
@@ -83,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": op2_substring_dedup,
         "op3_media_columns": op3_media_columns,
         "op4_exact_topk": op4_exact_topk,
+        "op6_line_dedup": op6_line_dedup,
         "op7_pii": op7_pii,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_secret_scan": op9_secret_scan,

@@ -1,29 +1,5 @@
-"""The folder that driver and executors share, and cuts of lineage through it."""
+"""Cuts of lineage, for the operators of this subpackage."""
 
-from __future__ import annotations
+from quarry.lineage import cut, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where it is unset (tests, local mode) a new temporary one."""
-    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if named:
-        return named.rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="quarry-")
-    spark.conf.set(CHECKPOINT_KEY, made)
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lost executors cost no recomputation of what came before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "shared_dir"]
