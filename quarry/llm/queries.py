@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import byte_bpe, language_id, media_columns, pii, secret_scan
 from .exact_topk import exact_topk
 from .line_dedup import line_dedup
+from .ngram_join import ngram_join
 from .substring_dedup import substring_dedup
 
 
@@ -38,6 +39,10 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_documents(spark, sf_dir).select("doc_id", "text"), shingle=4, percent=85)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", F.col("n_lines_removed").alias("n_removed"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": op2_substring_dedup,
         "op3_media_columns": op3_media_columns,
         "op4_exact_topk": op4_exact_topk,
+        "op5_ngram_join": op5_ngram_join,
         "op6_line_dedup": op6_line_dedup,
         "op7_pii": op7_pii,
         "op8_byte_bpe": op8_byte_bpe,
