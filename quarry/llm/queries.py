@@ -11,6 +11,7 @@ from . import byte_bpe, language_id, media_columns, pii, secret_scan
 from .exact_topk import exact_topk
 from .line_dedup import line_dedup
 from .ngram_join import ngram_join
+from .source_mix import temperature_mix
 from .substring_dedup import substring_dedup
 
 
@@ -18,6 +19,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = temperature_mix(_documents(spark, sf_dir).select("doc_id", "source", "text"), max_repeats=2.0)
+    return out.select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_pass").alias("pass"), F.col("mix_block").alias("block"), "mix_key")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_documents(spark, sf_dir).select("doc_id", "text"), window=50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
@@ -91,6 +97,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_source_mix": op1_source_mix,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_media_columns": op3_media_columns,
         "op4_exact_topk": op4_exact_topk,
