@@ -52,7 +52,7 @@ def merged(ranks: dict[bytes, int], data: bytes) -> list[int]:
 @dataclass
 class Transducer:
     ranks: dict[bytes, int]
-    steps: list[dict] = field(default_factory=list)
+    steps: dict[int, tuple[int, tuple[int, ...]]] = field(default_factory=dict)
 
     def __post_init__(self):
         self.bytes_of = {r: t for t, r in self.ranks.items()}
@@ -76,7 +76,7 @@ class Transducer:
         """Forgets all states; they are built again as they are met."""
         self.number = {((0, -1, ()),): 0}
         self.threads = [((0, -1, ()),)]
-        self.steps, self.built = [{}], 0
+        self.steps = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens that the last merge of a token joins; None for a single byte or a token that no merges reach."""
@@ -133,43 +133,50 @@ class Transducer:
         return known
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Determinises one transition: the next state and what is emitted."""
+        """Determinises one transition: the next state and what is emitted.
+
+        Threads stand in the order in which their open token began, so the first has the fewest tokens yet to
+        be emitted, and all agree on as many as it has at most.
+        """
+        following, tokens = self.next, self.token
         moved, ended = [], None
         for node, before, out in self.threads[state]:
-            child = self.next[node].get(byte)
+            child = following[node].get(byte)
             if child is None:
                 continue
-            token = self.token[child]
-            if ended is None and token >= 0 and self.fits(before, token):
+            if ended is None and (token := tokens[child]) >= 0 and self.fits(before, token):
                 ended = (0, token, (*out, token))
-            if self.next[child]:
+            if following[child]:
                 moved.append((child, before, out))
         if ended is None:
             raise ValueError(f"the vocabulary lacks byte {byte}")
-        moved.append(ended)
-        agreed = 0
-        while all(len(t[2]) > agreed and t[2][agreed] == ended[2][agreed] for t in moved):
-            agreed += 1
-        emitted = ended[2][:agreed]
-        key = tuple((node, before, out[agreed:]) for node, before, out in moved)
+        if not moved:
+            emitted, key = ended[2], ((0, ended[1], ()),)
+        else:
+            moved.append(ended)
+            agreed, most = 0, min(len(t[2]) for t in moved)
+            while agreed < most and all(t[2][agreed] == ended[2][agreed] for t in moved):
+                agreed += 1
+            emitted = ended[2][:agreed]
+            key = tuple((node, before, out[agreed:]) for node, before, out in moved) if agreed else tuple(moved)
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.threads)
             self.threads.append(key)
-            self.steps.append({})
-        found = self.steps[state][byte] = (to, emitted)
-        self.built += 1
+        found = self.steps[state << 8 | byte] = (to, emitted)
         return found
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if self.built > KEEP_STEPS:
+        steps = self.steps
+        if len(steps) > KEEP_STEPS:
             self.reset()
+            steps = self.steps
         state, out = 0, []
         for byte in piece:
-            found = self.steps[state].get(byte) or self.step(state, byte)
+            found = steps.get(state << 8 | byte) or self.step(state, byte)
             state = found[0]
             if found[1]:
                 out += found[1]
@@ -193,7 +200,9 @@ class Encoder:
 
     def encode_part(self, part: str) -> bytes:
         found = self.old.get(part)
-        if found is None and part[-1] in ".,;:!?" and part[-2:-1].isalpha():  # a match ends between the two
+        if found is None and (part.isalpha() or part[0] == " " and part[1:].isalpha()):  # one match of the pattern
+            found = array("i", self.machine.encode_piece(part.encode())).tobytes()
+        elif found is None and part[-1] in ".,;:!?" and part[-2:-1].isalpha():  # a match ends between the two
             word = part[:-1]
             found = (self.young.get(word) or self.encode_part(word)) + (self.young.get(part[-1]) or self.encode_part(part[-1]))
         elif found is None:
@@ -288,14 +297,21 @@ def bpe_decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", byt
         table = [None] * (max(shipped.value.values(), default=-1) + 1)
         for token, rank in shipped.value.items():
             table[rank] = token
+        known = np.array([t is not None for t in table], bool)
+        token = table.__getitem__
         for batch in batches:
             found, texts = [], []
-            for value in batch.column(ids_col):
-                ids = value.values.to_pylist() if value.is_valid else None
+            lists = batch.column(ids_col).cast(pa.list_(pa.int64()))
+            values = lists.values
+            flat = values.fill_null(-1).to_numpy(zero_copy_only=False)
+            valid = (flat >= 0) & (flat < len(table))
+            valid[valid] = known[flat[valid]]
+            offsets = lists.offsets.to_numpy()
+            for there, low, high in zip(lists.is_valid().to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                ok = there and bool(valid[low:high].all())
                 stream, parts, text = Utf8Stream(), [], []
-                ok = ids is not None and all(i is not None and 0 <= i < len(table) and table[i] is not None for i in ids)
-                for at in range(0, len(ids) if ok else 0, stream_ids):
-                    parts.append(b"".join([table[i] for i in ids[at : at + stream_ids]]))
+                for at in range(low, high if ok else low, stream_ids):
+                    parts.append(b"".join(map(token, flat[at : min(at + stream_ids, high)].tolist())))
                     if text_col:
                         text.append(stream.feed(parts[-1]))
                 found.append(b"".join(parts) if ok else None)
