@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import book, pipeline_state, tables, texts  # noqa: F401  (they fill the book)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return book.QUERIES["change_classification"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(book.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(book.SQL)
