@@ -11,6 +11,7 @@ from . import byte_bpe, language_id, media_columns, pii, secret_scan
 from .exact_topk import exact_topk
 from .line_dedup import line_dedup
 from .ngram_join import ngram_join
+from .oracles import SQL
 from .source_mix import temperature_mix
 from .substring_dedup import substring_dedup
 
@@ -111,17 +112,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op4_exact_topk": """
-            WITH v AS (
-                SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-                FROM embeddings
-                WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-            ), s AS (
-                SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(generate_series(1, len(q.v)), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
-                FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
-                WHERE q.vec_id % 100 = 0
-            )
-            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-            FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
-    }
+    return dict(SQL)
