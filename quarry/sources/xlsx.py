@@ -12,7 +12,6 @@ import zipfile
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -112,8 +111,9 @@ def cells(spark: SparkSession, path: str, sheets: list[str] | None = None, skip:
 def table_columns(cells: DataFrame) -> DataFrame:
     """(file, sheet, col, name, meta): columns by the header row and the ``key=value`` lines of the second row; blank headers inside are named ``_col{i}``."""
     heads = cells.where("row <= 2").groupBy("file", "sheet", "col").agg(F.max(F.when(F.col("row") == 1, F.trim("value"))).alias("name"), F.max(F.when(F.col("row") == 2, F.col("value"))).alias("meta"))
-    last = F.max(F.when(F.col("name") != "", F.col("col"))).over(W.partitionBy("file", "sheet"))
-    heads = heads.withColumn("last", last).where("col <= last")
+    width = heads.where("name <> ''").groupBy("file", "sheet").agg(F.max("col").alias("last"))
+    every = width.select("file", "sheet", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("col"))
+    heads = every.join(heads, ["file", "sheet", "col"], "left")
     return heads.select("file", "sheet", "col", F.when(F.coalesce("name", F.lit("")) != "", F.col("name")).otherwise(F.concat(F.lit("_col"), (F.col("col") - 1).cast("string"))).alias("name"), catalog.parse_meta(F.col("meta")).alias("meta"))
 
 
