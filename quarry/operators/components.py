@@ -19,9 +19,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Null ends and loops are left out, unless a loop is all a node has: then it is its own component.
     """
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    pairs = cut(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null"), "edges")
     alone = pairs.where("u = v").select("u").distinct()
-    now = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     seen = None
     for _ in range(max_rounds):
         now = cut(_small_stars(_large_stars(now)), "edges")
