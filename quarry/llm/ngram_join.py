@@ -26,8 +26,12 @@ from .shared import cut
 from .words import mix, shingle_sets
 
 _LAST = np.iinfo(np.int64).max
-#: Most extra matches that a prefix may ask for; classes of a posting that one task compares with another such block.
-MOST_MATCHES, BLOCK = 8, 1024
+#: Most matches that a prefix may ask for; classes of a posting that one task compares with another such block.
+MOST_MATCHES, BLOCK = 64, 1024
+#: What a shingle in a prefix costs beside the classes that it is compared with.
+SEND = 20
+#: Rounds in which each class tries its most promising partner only, before all that are left.
+TRIES = 2
 
 
 def least_overlap(n, percent: int):
@@ -48,14 +52,15 @@ def _sets(texts, shingle: int) -> list[np.ndarray]:
 def prefix_matches(df: np.ndarray, n: int, percent: int) -> int:
     """How many prefix matches l a set asks for, from the frequencies of its shingles in order (rare first, 1 for those that match nothing).
 
-    A prefix costs its postings; every candidate that it leaves costs a verification, about
-    a tenth of a posting for each shingle of the set. Candidates are at most postings / l.
+    A prefix costs its shingles and their postings; every candidate that it leaves costs a verification,
+    about a tenth of a posting for each shingle of the set. Candidates are at most postings / l.
     """
     lose = n - least_overlap(n, percent)
     longest = min(MOST_MATCHES, n - lose)
     postings = np.cumsum(np.where(df > 1, df - 1, 0).astype(np.float64))[lose : lose + longest]
     matches = np.arange(1, longest + 1)
-    return int(matches[np.argmin(postings + postings / matches * (1 + n / 10))])
+    sent = np.cumsum(df > 1)[lose : lose + longest]
+    return int(matches[np.argmin(SEND * sent + postings + postings / matches * (1 + n / 10))])
 
 
 def classes(dealt: DataFrame, shingle: int) -> DataFrame:
@@ -73,9 +78,9 @@ def classes(dealt: DataFrame, shingle: int) -> DataFrame:
 
 
 def prefixes(dealt: DataFrame, rows: DataFrame, shingle: int, percent: int, n_buckets: int) -> DataFrame:
-    """(class, n, matches, rest, prefix, shared): of each class with a prefix shingle that another class holds as well.
+    """(class, n, matches, rest, own, prefix, shared): of each class with a prefix shingle that another class holds as well.
 
-    ``rest`` is the number of shingles behind the prefix, ``prefix`` its shingles with another holder, ``shared``
+    ``rest`` is the number of shingles behind the prefix, ``own`` that of those no other class holds, ``prefix`` its shingles with another holder, ``shared``
     all of the set's shingles with another holder (packed).
     """
     held = rows.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("doc", "chunk")).alias("at"))
@@ -124,7 +129,7 @@ def prefixes(dealt: DataFrame, rows: DataFrame, shingle: int, percent: int, n_bu
         return C.columns(out, [("chunk", pa.int32()), ("bucket", pa.int32()), ("hits", pa.binary()), ("df", pa.binary())])
 
     def choose(table: pa.Table, answers: pa.Table) -> pa.Table:
-        fields = [("class", pa.int64()), ("n", pa.int64()), ("matches", pa.int32()), ("rest", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary())]
+        fields = [("class", pa.int64()), ("n", pa.int64()), ("matches", pa.int32()), ("rest", pa.int64()), ("own", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary())]
         held = answers.filter(answers["a"].is_valid())
         answers = answers.filter(answers["hits"].is_valid())
         if not table.num_rows or not answers.num_rows or not held.num_rows:
@@ -149,13 +154,13 @@ def prefixes(dealt: DataFrame, rows: DataFrame, shingle: int, percent: int, n_bu
             sent = order[:length]
             sent = sent[often[sent] > 1]
             if len(sent):
-                out.append((a, n, matches, n - length, own[sent].view(np.int64).tolist(), C.pack(own[found])))
+                out.append((a, n, matches, n - length, int((often <= 1).sum()), own[sent].view(np.int64).tolist(), C.pack(own[found])))
         return C.columns(out, fields)
 
     asked = dealt.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInArrow(probe, "bucket int, chunk int, probes binary, many binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(count, "chunk int, bucket int, hits binary, df binary")
     both = answers.withColumn("a", F.lit(None).cast("long")).unionByName(held.select("chunk", "a"), allowMissingColumns=True)
-    return dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(choose, "class long, n long, matches int, rest long, prefix array<long>, shared binary")
+    return dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(choose, "class long, n long, matches int, rest long, own long, prefix array<long>, shared binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,28 +181,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(test, "x long, y long")
 
 
-def _stars(postings: DataFrame, percent: int) -> DataFrame:
-    """Each class with the smallest class of each of its postings, if their sizes allow a link."""
-    least = postings.groupBy("token").agg(F.min(F.struct("class", "n")).alias("m"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    tied = postings.join(least.select("token", "m"), "token").where("m.class <> class")
-    tied = tied.where((F.least("n", "m.n") * 100) >= F.greatest("n", "m.n") * percent)
-    return tied.select(F.col("m.class").alias("x"), F.col("class").alias("y")).distinct()
+def _stars(sets: DataFrame, percent: int) -> DataFrame:
+    """Each class with the most typical class of each of its postings, if their sizes allow a link.
+
+    Of near copies that is their original: it has the least shingles of its own.
+    """
+    postings = sets.select("class", "n", "own", F.explode("prefix").alias("token"))
+    centre = postings.groupBy("token").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("odd"), "class", "n")).alias("m"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    tied = postings.join(centre.select("token", F.col("m.class").alias("x"), F.col("m.n").alias("n_x")), "token").where("x <> class")
+    tied = tied.where((F.least("n", "n_x") * 100) >= F.greatest("n", "n_x") * percent)
+    return tied.select(F.least("x", "class").alias("x"), F.greatest("x", "class").alias("y")).distinct()
 
 
-def _crossing(postings: DataFrame, percent: int, block: int) -> DataFrame:
+def _crossing(sets: DataFrame, labels: DataFrame, percent: int, block: int, best: bool) -> DataFrame:
     """Pairs of unlike components that share as many prefix shingles as their prefixes ask for.
 
-    A long posting is dealt to blocks, and each two blocks meet in one task. A pair is reported
-    by the posting of its smallest shared prefix shingle.
+    Only postings that unlike components share are kept, and of each prefix only their shingles: no others can be
+    common to such a pair. A long posting is dealt to blocks, and each two blocks meet in one task. A pair is
+    reported by the posting of its smallest shared prefix shingle. With ``best``, each class reports one partner, the
+    one with most shared shingles beyond the least number.
     """
+    named = sets.select("class", "n", "rest", "prefix").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    postings = named.select("class", "component", F.explode("prefix").alias("token"))
     spread = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     spread = spread.select("token", (1 + F.floor(F.col("size") / block)).cast("int").alias("parts"))
-    dealt = postings.join(spread, "token").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    left = postings.join(spread, "token")
+    kept = left.groupBy("class", "component").agg(F.collect_list(F.struct("token", "parts")).alias("kept"))
+    whole = kept.join(sets.select("class", "n", "rest"), "class").withColumn("prefix", F.transform("kept", lambda k: k["token"]))
+    dealt = whole.select("class", "component", "n", "rest", "prefix", F.explode("kept").alias("k")).select("class", "component", "n", "rest", "prefix", "k.*")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = dealt.select("*", other.alias("other")).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
 
     def compare(table: pa.Table) -> pa.Table:
-        fields = [("x", pa.int64()), ("y", pa.int64())]
+        fields = [("x", pa.int64()), ("y", pa.int64()), ("more", pa.int32())]
         token = np.int64(table["token"][0].as_py())
         part, inner = table["part"].to_numpy(), table["low"][0].as_py() == table["high"][0].as_py()
         node, comp, n, rest = (table[c].to_numpy() for c in ("class", "component", "n", "rest"))
@@ -224,21 +241,38 @@ def _crossing(postings: DataFrame, percent: int, block: int) -> DataFrame:
             common += met
             if high <= own:
                 earlier |= met > 0
-        xs, ys = [], []
+        found: list[np.ndarray] = []
+        top = np.full((2, len(right)), -1, np.int64)
         for low in range(0, len(left), 128):
             rows = left[low : low + 128]
             small, large = np.minimum(n[rows][:, None], n[right]), np.maximum(n[rows][:, None], n[right])
             need = -(-percent * (small + large) // (100 + percent)) - np.maximum(rest[rows][:, None], rest[right])
-            fits = (comp[rows][:, None] != comp[right]) & (100 * small >= percent * large) & (common[low : low + 128] >= need) & ~earlier[low : low + 128]
-            if inner:
-                fits &= node[rows][:, None] < node[right]
-            i, j = np.nonzero(fits)
-            xs.append(node[rows][i])
-            ys.append(node[right][j])
-        x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (xs, ys))
-        return pa.table([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=pa.schema(fields))
-
-    return dealt.groupBy("token", "low", "high").applyInArrow(compare, "x long, y long")
+            more = common[low : low + 128].astype(np.int64) - need
+            fits = (comp[rows][:, None] != comp[right]) & (100 * small >= percent * large) & (more >= 0) & ~earlier[low : low + 128]
+            if best:
+                more = np.where(fits, more, -1)
+                j = more.argmax(axis=1)
+                i = np.flatnonzero(more[np.arange(len(rows)), j] >= 0)
+                found.append(np.stack([node[rows][i], node[right][j[i]], more[i, j[i]]]))
+                at = more.argmax(axis=0)
+                better = more[at, np.arange(len(right))] > top[0]
+                top[:, better] = more[at, np.arange(len(right))][better], node[rows][at[better]]
+            else:
+                if inner:
+                    fits &= node[rows][:, None] < node[right]
+                i, j = np.nonzero(fits)
+                x, y = node[rows][i], node[right][j]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y), more[i, j]]))
+        if best:
+            i = np.flatnonzero(top[0] >= 0)
+            found.append(np.stack([node[right][i], top[1][i], top[0][i]]))
+        x, y, more = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+        return pa.table([pa.array(x), pa.array(y), pa.array(more.astype(np.int32))], schema=pa.schema(fields))
+
+    pairs = dealt.groupBy("token", "low", "high").applyInArrow(compare, "x long, y long, more int")
+    if best:
+        pairs = pairs.groupBy("x").agg(F.max(F.struct("more", "y")).alias("b")).select("x", F.col("b.y").alias("y"))
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct() if best else pairs.select("x", "y")
 
 
 def _cuts(n_columns: int, own: int, width: int = 4096):
@@ -276,10 +310,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def links_of(sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """(node, component) of the classes that link with another."""
-    postings = sets.select("class", "n", F.explode("prefix").alias("token"))
-    stars = cut(_verified(_stars(postings, percent), sets, percent), "star-links")
-    first = connected_components(stars, "x", "y")
-    labelled = sets.join(first, sets["class"] == first["node"], "left").withColumn("component", F.coalesce("component", "class"))
-    postings = labelled.select("class", "component", "n", "rest", "prefix", F.explode("prefix").alias("token"))
-    crossing = _verified(_crossing(postings, percent, block), sets, percent)
-    return connected_components(stars.union(crossing), "x", "y")
+    links = cut(_verified(_stars(sets, percent), sets, percent), "links")
+    for best in (*[True] * TRIES, False):
+        labels = cut(_near_labels(links), "labels")
+        links = links.unionByName(cut(_verified(_crossing(sets, labels, percent, block, best), sets, percent), "links"))
+    return connected_components(links, "x", "y")
+
+
+def _near_labels(links: DataFrame) -> DataFrame:
+    """(node, component) by the smallest class within two links: equal labels mean one component, and stars have one label."""
+    both = links.select("x", "y").union(links.select("y", "x"))
+    one = both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("component"))
+    two = both.join(one, both["y"] == one["node"]).select(F.col("x").alias("node"), "component")
+    return two.unionByName(one).groupBy("node").agg(F.min("component").alias("component"))
