@@ -1,9 +1,10 @@
 """Line dedup by a deletion-neighbourhood join.
 
 Equal lines are brought together first. Two unlike lines within one edit agree in their
-first or their last characters, so lines that share neither with any other are done. The
-others emit, as hashed keys, every variant with one character of the other part deleted
-(and themselves). Lines that meet in a key are compared exactly; the earliest stays.
+first or their last half, and in a half of the other half, so lines that share none of these
+with any other are done. The others emit, as hashed keys, every variant with one
+character of the quarter that is left deleted (and themselves). Lines that meet in a key are
+compared exactly; the earliest stays.
 
 A key holds the place of the deletion where both lines lose a character (then they differ
 there only), so every two lines of a group are within one edit, and comparing each with the
@@ -42,10 +43,20 @@ def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
     return parts.withColumn("line", F.trim("line", F.lit(BLANKS))).where(F.char_length("line") >= min_chars)
 
 
-def _ends(as_length) -> list:
-    """The hashed first and last characters of a line, half of its length each, as if it had ``as_length`` characters."""
-    half = F.floor(as_length / STEP).cast("int") * (STEP // 2)
-    return [F.struct(F.xxhash64(F.lit(side), half, end(F.col("line"), half)).alias("end"), half.alias("half"), F.lit(side).alias("side")) for side, end in ((0, F.left), (1, F.right))]
+def _half(as_length):
+    """The size of a line's shared end, as if it had ``as_length`` characters."""
+    return F.floor(as_length / STEP).cast("int") * (STEP // 2)
+
+
+def _ends(length) -> list:
+    """The hashed first and last half of a line; at a border of lengths also as a line of one less, to meet such lines."""
+    out = []
+    for as_length, counts in ((length, None), (length - 1, length % STEP == 0)):
+        half = _half(as_length)
+        for side, end in ((0, F.left), (1, F.right)):
+            key = F.xxhash64(F.lit(side), half, end(F.col("line"), half))
+            out.append(key if counts is None else F.when(counts, key))
+    return out
 
 
 def _power_table(n: int, base: int) -> np.ndarray:
@@ -58,8 +69,8 @@ _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
 
 
-def variants(line: str, end: int, half: int, side: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a line under a shared end, and whether each is the line itself, a shortened one or one with a place.
+def variants(line: str, salt: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a line whose edit, if any, is at ``low`` to ``high``: itself (0), shortened (1), shortened at a known place (2).
 
     Keys are sums of characters times powers of an odd base, so a deletion shifts what follows by one power.
     """
@@ -67,9 +78,9 @@ def variants(line: str, end: int, half: int, side: int) -> tuple[np.ndarray, np.
     n = len(code)
     power = _power_table(n, _BASE)
     total = np.r_[np.uint64(0), np.cumsum(code * power[:n], dtype=np.uint64)]
-    at = np.arange(half, n) if side == 0 else np.arange(0, n - half)
+    at = np.arange(low, high)
     short = total[at] + (total[n] - total[at + 1]) * np.uint64(_UNBASE)
-    salt = np.uint64(end & ((1 << 64) - 1))
+    salt = np.uint64(salt & ((1 << 64) - 1))
     anew = at[(at == at[0]) | (code[at] != code[at - 1])] - at[0] if len(at) else at  # in a run of one character every deletion is the same
     whole = mix(mix(total[n : n + 1] ^ salt) + np.uint64(n))
     shorter = mix(mix(short[anew] ^ salt) + np.uint64(n - 1))
@@ -82,7 +93,7 @@ def _emit(batches):
         keys, kinds, who = [], [], []
         size = 0
         for row in batch.to_pylist():
-            key, kind = variants(row["line"], row["end"], row["half"], row["side"])
+            key, kind = variants(row["line"], row["salt"], row["low"], row["high"])
             keys.append(key.view(np.int64))
             kinds.append(kind)
             who.append(np.full(len(key), row["h1"], np.int64))
@@ -94,29 +105,67 @@ def _emit(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, kinds, who)], ["k", "kind", "h1"])
 
 
-def _near(rows: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(h1, near): for lines with an unlike earlier line within one edit, the earliest such place."""
-    ends = distinct.select("h1", "first", F.explode(F.array_compact(F.col("ends"))).alias("e")).select("h1", "first", "e.*")
-    met = ends.groupBy("end").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("end")
-    sharing = cut(ends.join(met, "end"), "line-ends")
-    wanted = sharing.select(F.col("first.key").alias("key"), F.col("first.sig").alias("sig"), F.col("first.pos").alias("pos")).groupBy("key", "sig").agg(F.collect_set("pos").alias("wanted"))
-    texts = rows.select("key", "sig", "text").join(wanted, ["key", "sig"])
-    found = texts.select("key", "sig", F.split("text", "\n").alias("parts"), F.explode("wanted").alias("pos"))
-    found = found.select(F.struct("key", "pos", "sig").alias("first"), F.trim(F.get("parts", F.col("pos")), F.lit(BLANKS)).alias("line"))
-    lines = cut(sharing.groupBy("h1", "first").agg(F.collect_list(F.struct("end", "half", "side")).alias("e")).join(found, "first"), "line-texts")
+#: Bits of the filters that spare rows a shuffle: 4 MiB, whatever the input. Fuller ones spare less and are as exact.
+FILTER_BITS = 1 << 25
+
+
+def _filter(hashes: DataFrame) -> DataFrame:
+    """(part, bits) of a set of hashes ``h``: a bit for each remainder by ``FILTER_BITS``, 1024 rows of 4 KiB at most."""
+    at = F.pmod("h", F.lit(FILTER_BITS))
+    return hashes.select(F.floor(at / 32768).cast("int").alias("part"), (at % 32768).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def _tested(rows: DataFrame, h, filter_: DataFrame) -> DataFrame:
+    """Rows with ``maybe``: false only if their hash isn't in the filter's set."""
+    at = F.pmod(h, F.lit(FILTER_BITS))
+    placed = rows.withColumns({"part": F.floor(at / 32768).cast("int"), "bit": (at % 32768).cast("int")})
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = placed.join(F.broadcast(filter_), "part", "left")
+    return found.withColumn("maybe", F.coalesce(F.getbit(byte, F.col("bit") % 8) == 1, F.lit(False))).drop("part", "bit", "bits")
+
+
+def _shared(keyed: DataFrame, key: str) -> DataFrame:
+    """Rows whose key another line has as well. Keys are counted before they are shuffled, and no group is gathered."""
+    met = keyed.groupBy(key).agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select(key)
+    return keyed.join(met, key)
+
+
+def _quarters(lines: DataFrame) -> DataFrame:
+    """(h1, line, salt, low, high): under each shared end, the two halves of the rest that may be alike, and where the edit is then."""
+    rows = lines.withColumns({"n": F.char_length("line"), "q": (F.col("half") / 2).cast("int")})
+    first = F.col("side") == 0
+    near = F.when(first, F.substr("line", F.col("half") + 1, F.col("q"))).otherwise(F.substr("line", F.col("n") - F.col("half") - F.col("q") + 1, F.col("q")))
+    far = F.when(first, F.right("line", F.col("q"))).otherwise(F.left("line", F.col("q")))
+    part = lambda k, text, low, high: F.struct(F.xxhash64("end", F.lit(k), text).alias("salt"), low.cast("int").alias("low"), high.cast("int").alias("high"))
+    parts = F.array(
+        part(0, near, F.when(first, F.col("half") + F.col("q")).otherwise(0), F.when(first, F.col("n")).otherwise(F.col("n") - F.col("half") - F.col("q"))),
+        part(1, far, F.when(first, F.col("half")).otherwise(F.col("q")), F.when(first, F.col("n") - F.col("q")).otherwise(F.col("n") - F.col("half"))),
+    )
+    return rows.select("h1", "line", F.explode(parts).alias("p")).select("h1", "line", "p.*")
+
+
+def _near(lines_of: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(h1, h2, near): for lines with an unlike earlier line within one edit, the earliest such place."""
+    ends = distinct.select("h1", F.posexplode("ends").alias("k", "end")).where("end is not null")
+    sharing = _shared(ends, "end").groupBy("h1").agg(F.collect_list(F.struct("k", "end")).alias("e"))  # 4 at most
+    sharing = cut(sharing.join(distinct.select("h1", "h2", "first"), "h1"), "line-ends")
+    found = _tested(lines_of.withColumn("h1", F.xxhash64("line")), F.col("h1"), _filter(sharing.select(F.col("h1").alias("h")))).where("maybe")
+    found = found.select("h1", F.struct("key", "pos", "sig").alias("first"), "line")
+    lines = cut(sharing.join(found, ["h1", "first"]), "line-texts")
 
-    emitted = lines.select("h1", "line", F.explode("e").alias("e")).select("h1", "line", "e.*").mapInArrow(_emit, "k long, kind byte, h1 long")
+    length = F.char_length("line")
+    each = lines.select("h1", "line", F.explode("e").alias("e")).select("h1", "line", "e.end", (F.col("e.k") % 2).alias("side"), _half(length - F.floor(F.col("e.k") / 2)).alias("half"))
+    quarters = _shared(_quarters(each), "salt")
     # A line itself and shortened lines that equal it meet in one key; so do lines short of the same place.
     group = W.partitionBy("k")
+    emitted = quarters.select("h1", "line", "salt", "low", "high").mapInArrow(_emit, "k long, kind byte, h1 long")
     joined = emitted.withColumns({"a": F.min("h1").over(group), "b": F.max("h1").over(group)}).where("a <> b").select("k", "kind", "h1")
-    joined = joined.join(lines.select("h1", "first", "line"), "h1").withColumn("me", F.struct("first.key", "first.pos", "line"))
-    itself = F.min(F.when(F.col("kind") == 0, F.col("me"))).over(group)
-    shorter = F.min(F.when(F.col("kind") == 1, F.col("me"))).over(group)
-    placed = F.min(F.when(F.col("kind") == 2, F.col("me"))).over(group)
-    other = F.when(F.col("kind") == 0, shorter).when(F.col("kind") == 1, itself).otherwise(placed)
+    joined = joined.join(lines.select("h1", "h2", "first", "line"), "h1").withColumn("me", F.struct("first.key", "first.pos", "line"))
+    own = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("me"))).over(group)
+    other = F.when(F.col("kind") == 0, own(1)).when(F.col("kind") == 1, own(0)).otherwise(own(2))
     pairs = joined.withColumn("other", other).where("other.key < me.key or other.key = me.key and other.pos < me.pos")
     verified = pairs.where(F.levenshtein("me.line", "other.line", 1) == 1)
-    return verified.groupBy("h1").agg(F.min(F.struct("other.key", "other.pos")).alias("near"))
+    return verified.groupBy("h1", "h2").agg(F.min(F.struct("other.key", "other.pos")).alias("near"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, lines_col: str = "n_lines", removed_col: str = "n_lines_removed", kept_col: str = "kept_text") -> DataFrame:
@@ -137,18 +186,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = _rows(docs, id_col, text_col)
     lines = _lines(rows, min_chars)
     length = F.char_length("line").cast("int")
-    shorter = [F.when(length % STEP == 0, e) for e in _ends(length - 1)]  # at a border, to meet lines of one less
-    ends = F.array(*_ends(length), *shorter)
-    hashed = lines.select("key", "sig", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), ends.alias("ends"))
+    hashed = lines.select("key", "sig", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.array(*_ends(length)).alias("ends"))
     distinct = cut(hashed.groupBy("h1", "h2", "ends").agg(F.min(F.struct("key", "pos", "sig")).alias("first"), F.count(F.lit(1)).alias("copies")), "lines")
-    near = _near(rows, distinct)
-    place = F.struct(F.col("first.key").alias("key"), F.col("first.pos").alias("pos"))
-    judged = distinct.join(near, "h1", "left").where("copies > 1 or near is not null")
-    judged = judged.select("h1", "h2", F.least(place, F.col("near")).alias("stays"))
-    gone = hashed.select("key", "sig", "pos", "h1", "h2").join(judged, ["h1", "h2"]).where("key > stays.key or key = stays.key and pos > stays.pos")
-    gone = gone.groupBy("key", "sig").agg(F.collect_set("pos").alias("gone"))
-    out = rows.select("row", "key", "sig").join(gone, ["key", "sig"], "left").select("row.*", F.col("gone").alias("gone "))
-    return _without(out, text_col, "gone ", lines_col, removed_col, kept_col)
+    repeated = distinct.where("copies > 1").select("h1", "h2", F.struct(F.col("first.key").alias("key"), F.col("first.pos").alias("pos")).alias("stays"))
+    judged = cut(repeated.unionByName(_near(lines, distinct).withColumnRenamed("near", "stays")).groupBy("h1", "h2").agg(F.min("stays").alias("stays")), "lines-judged")
+    placed = _tested(hashed.select("key", "sig", "pos", "h1", "h2"), F.col("h1"), _filter(judged.select(F.col("h1").alias("h")))).where("maybe").drop("maybe")
+    gone = placed.join(judged, ["h1", "h2"]).where("key > stays.key or key = stays.key and pos > stays.pos")
+    gone = cut(gone.groupBy("key", "sig").agg(F.collect_set("pos").alias("gone")), "lines-gone")
+    digest = F.xxhash64("key", "sig")
+    whole = _tested(rows.select("row", "key", "sig"), digest, _filter(gone.select(digest.alias("h"))))
+    changed = whole.where("maybe").join(gone, ["key", "sig"], "left").select("row", "gone")
+    out = changed.unionByName(whole.where("not maybe").select("row", F.lit(None).cast("array<int>").alias("gone")))
+    return _without(out.select("row.*", F.col("gone").alias("gone ")), text_col, "gone ", lines_col, removed_col, kept_col)
 
 
 def _without(df: DataFrame, text_col: str, gone_col: str, lines_col: str, removed_col: str, kept_col: str) -> DataFrame:
