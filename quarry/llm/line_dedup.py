@@ -4,7 +4,8 @@ Equal lines are brought together first. Two unlike lines within one edit agree i
 first or their last half, and in a half of the other half, so lines that share none of these
 with any other are done. The others emit, as hashed keys, every variant with one
 character of the quarter that is left deleted (and themselves). Lines that meet in a key are
-compared exactly; the earliest stays.
+compared exactly; the earliest stays. Short lines, whose halves and quarters would tell little
+or nothing, all emit their variants: of one with n characters there are 2 n + 1 at most.
 
 A key holds the place of the deletion where both lines lose a character (then they differ
 there only), so every two lines of a group are within one edit, and comparing each with the
@@ -28,6 +29,8 @@ BLANKS = " \t\r\v\f"
 _LAST = (1 << 63) - 1
 #: Lines are grouped by length into steps of so many characters; shared ends are half as long.
 STEP = 8
+#: Lines up to this length meet by all their variants, lines from this length on by shared ends: any two within one edit are on one side together.
+SHORT = 20
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -155,12 +158,15 @@ def _near(lines_of: DataFrame, distinct: DataFrame) -> DataFrame:
 
     length = F.char_length("line")
     each = lines.select("h1", "line", F.explode("e").alias("e")).select("h1", "line", "e.end", (F.col("e.k") % 2).alias("side"), _half(length - F.floor(F.col("e.k") / 2)).alias("half"))
-    quarters = _shared(_quarters(each), "salt")
+    short = distinct.where("short is not null").select("h1", "h2", "first", F.col("short").alias("line"))
+    whole = short.select("h1", "line", F.lit(0).cast("long").alias("salt"), F.lit(0).alias("low"), length.cast("int").alias("high"))
+    quarters = _shared(_quarters(each), "salt").select("h1", "line", "salt", "low", "high").unionByName(whole)
+    lines = lines.select("h1", "h2", "first", "line").where(length > SHORT).unionByName(short)
     # A line itself and shortened lines that equal it meet in one key; so do lines short of the same place.
     group = W.partitionBy("k")
-    emitted = quarters.select("h1", "line", "salt", "low", "high").mapInArrow(_emit, "k long, kind byte, h1 long")
+    emitted = quarters.mapInArrow(_emit, "k long, kind byte, h1 long")
     joined = emitted.withColumns({"a": F.min("h1").over(group), "b": F.max("h1").over(group)}).where("a <> b").select("k", "kind", "h1")
-    joined = joined.join(lines.select("h1", "h2", "first", "line"), "h1").withColumn("me", F.struct("first.key", "first.pos", "line"))
+    joined = joined.join(lines, "h1").withColumn("me", F.struct("first.key", "first.pos", "line"))
     own = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("me"))).over(group)
     other = F.when(F.col("kind") == 0, own(1)).when(F.col("kind") == 1, own(0)).otherwise(own(2))
     pairs = joined.withColumn("other", other).where("other.key < me.key or other.key = me.key and other.pos < me.pos")
@@ -168,13 +174,14 @@ def _near(lines_of: DataFrame, distinct: DataFrame) -> DataFrame:
     return verified.groupBy("h1", "h2").agg(F.min(F.struct("other.key", "other.pos")).alias("near"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, lines_col: str = "n_lines", removed_col: str = "n_lines_removed", kept_col: str = "kept_text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, lines_col: str = "n_lines", removed_col: str = "n_lines_removed", kept_col: str = "kept_text") -> DataFrame:
     """Removes every line that stands within one edit of an earlier line, in its own or another document.
 
     Lines are what newlines part, without blanks at their ends; an edit inserts, deletes or replaces one
-    character (code point). Earlier is by id, then by place in the text. Lines of fewer than ``min_chars``
-    characters (headings, bullets, numbers) neither go nor make others go. Lines are judged on the input, not on
-    what is left: with A, B, C each one edit from the one before, B and C go.
+    character (code point). Earlier is by id, then by place in the text. Every line that isn't blank is judged,
+    whatever its length (of two lines of one character the later goes); with a greater ``min_chars``, lines of
+    fewer characters neither go nor make others go. Lines are judged on the input, not on what is left: with A, B,
+    C each one edit from the one before, B and C go.
 
     Adds ``lines_col`` (lines of the text), ``removed_col`` and ``kept_col`` (what is left, joined by newlines;
     lines that stay are unchanged). All columns stay; those named like an added one are replaced.
@@ -186,8 +193,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = _rows(docs, id_col, text_col)
     lines = _lines(rows, min_chars)
     length = F.char_length("line").cast("int")
-    hashed = lines.select("key", "sig", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.array(*_ends(length)).alias("ends"))
-    distinct = cut(hashed.groupBy("h1", "h2", "ends").agg(F.min(F.struct("key", "pos", "sig")).alias("first"), F.count(F.lit(1)).alias("copies")), "lines")
+    hashed = lines.select("key", "sig", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.when(length >= SHORT, F.array(*_ends(length))).alias("ends"), F.when(length <= SHORT, F.col("line")).alias("short"))
+    distinct = cut(hashed.groupBy("h1", "h2", "ends", "short").agg(F.min(F.struct("key", "pos", "sig")).alias("first"), F.count(F.lit(1)).alias("copies")), "lines")
     repeated = distinct.where("copies > 1").select("h1", "h2", F.struct(F.col("first.key").alias("key"), F.col("first.pos").alias("pos")).alias("stays"))
     judged = cut(repeated.unionByName(_near(lines, distinct).withColumnRenamed("near", "stays")).groupBy("h1", "h2").agg(F.min("stays").alias("stays")), "lines-judged")
     placed = _tested(hashed.select("key", "sig", "pos", "h1", "h2"), F.col("h1"), _filter(judged.select(F.col("h1").alias("h")))).where("maybe").drop("maybe")
