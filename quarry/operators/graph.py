@@ -41,15 +41,84 @@ def hubs(edges: DataFrame, n: int) -> DataFrame:
     return degrees(edges).orderBy(F.desc("degree"), "node").limit(n)
 
 
-def resolve_names(refs: DataFrame, nodes: DataFrame, ref: str = "ref", node: str = "node", prefix: str = "PK_") -> DataFrame:
-    """(ref, node): each reference's node by name, then without blanks, then without prefix, then by the last part of a path; the smallest on ties."""
+#: Names that may hold one another meet by runs of so many characters at most.
+RUN = 8
+
+
+def _holding(small: DataFrame, large: DataFrame, inner: str, outer: str) -> DataFrame:
+    """Joined rows of which ``outer`` holds ``inner``, found by the first characters of ``inner``; empty strings are held by none."""
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.char_length(outer)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), F.char_length(outer) - i + 1)), lambda n: F.substr(F.col(outer), i, n))))
+    have = large.where(F.col(outer) != "").withColumn("run", F.explode(F.array_distinct(runs)))
+    met = small.where(F.col(inner) != "").withColumn("run", F.left(inner, F.lit(RUN))).join(have, "run").drop("run")
+    return met.where(F.contains(F.col(outer), F.col(inner)))
+
+
+def resolve_names(refs: DataFrame, nodes: DataFrame, ref: str = "ref", node: str = "node", prefix: str = "PK_", source: str | None = None) -> DataFrame:
+    """(ref, node): each reference's node by name, then without blanks, then without prefix, then by the last part of a path, else one that holds the reference or is held by it; the smallest on ties.
+
+    With ``source``, the column of refs that names where a reference stands, gives (source, ref, node): a reference
+    that names its own source has no node, and containment passes its source over.
+    """
+    by = ["source", "ref"] if source else ["ref"]
     forms = lambda c: [F.lower(c), F.regexp_replace(F.lower(c), r"\s+", ""), F.regexp_replace(F.lower(c), f"^{prefix.lower()}", ""), F.element_at(F.split(F.lower(c), "/"), -1)]
     keyed = lambda c, name: F.explode(F.array(*[F.struct(F.lit(i).alias(f"{name}_rank"), k.alias("key")) for i, k in enumerate(forms(c))]))
-    a = refs.select(F.col(ref).alias("ref")).distinct().select("ref", keyed(F.col("ref"), "r").alias("k")).select("ref", "k.*")
-    b = nodes.select(F.col(node).alias("node")).distinct().select("node", keyed(F.col("node"), "n").alias("k")).select("node", "k.*")
+    each = refs.select(*([F.col(source).alias("source")] if source else []), F.col(ref).alias("ref")).distinct()
+    known = nodes.select(F.col(node).alias("node")).distinct()
+    a = each.select(*by, keyed(F.col("ref"), "r").alias("k")).select(*by, "k.*")
+    b = known.select("node", keyed(F.col("node"), "n").alias("k")).select("node", "k.*")
     met = a.join(b, "key")
-    place = F.row_number().over(W.partitionBy("ref").orderBy(F.col("r_rank") + F.col("n_rank"), "node"))
-    return met.withColumn("place", place).where("place = 1").select("ref", "node")
+    first = lambda df, *order: df.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("place = 1").select(*by, "node")
+    named = first(met, F.col("r_rank") + F.col("n_rank"), "node")
+    left = each.join(named, by, "left_anti").withColumn("r", F.lower("ref"))
+    names = known.withColumn("n", F.lower("node"))
+    held = _holding(left, names, "r", "n").select(*by, "node").unionByName(_holding(names, left, "n", "r").select(*by, "node"))
+    if source:
+        named, held = named.where("node <> source"), held.where("node <> source")
+    return named.unionByName(first(held, "node"))
+
+
+def extracted_edges(docs: DataFrame, system: str = "system", text: str = "text", sheets: str = "sheets", declared: str = "declared", prefix: str = "PK_") -> DataFrame:
+    """(source, ref, rule), each once: what a system's text and declarations refer to.
+
+    ``docs``: a row for each system, with its whole text, the names of its sheets and its declared references
+    (arrays). Rules: ``prefix`` (names with the prefix), ``cell`` (name!A1, but not own sheets: the system of that name,
+    with the prefix first, else the smallest that holds or is held), ``heading`` (all systems that a heading of level 1 to 3
+    mentions, with or without prefix) and ``declared`` (the smallest other system that holds or is held, also
+    without the word for system). ``ref`` is a name as found by the first rule and a system by the others.
+    """
+    docs = docs.select(F.col(system).alias("source"), F.col(text).alias("text"), F.col(sheets).alias("sheets"), F.col(declared).alias("declared"))
+    known = docs.select(F.col("source").alias("name")).distinct().withColumn("short", F.trim(F.replace("name", F.lit(prefix), F.lit(""))))
+    found = lambda pattern: F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))))
+
+    named = docs.select("source", found(rf"({prefix}[^\s/\\,]+)").alias("ref")).withColumn("ref", F.regexp_replace(F.rtrim("ref", F.lit(")].")), "['\"]", ""))
+    named = named.where((F.col("ref") != F.col("source")) & (F.char_length("ref") > 3))
+
+    cells = docs.select("source", "sheets", found(r"(?U)(\w{2,})![A-Z]\d+").alias("said")).where((F.col("said") != F.col("source")) & ~F.coalesce(F.array_contains("sheets", F.col("said")), F.lit(False))).select("source", "said")
+    equal = cells.withColumn("name", F.explode(F.array(F.concat(F.lit(prefix), "said"), F.col("said")))).join(known.select("name"), "name")
+    equal = equal.groupBy("source", "said").agg(F.min_by("name", F.col("name") == F.col("said")).alias("ref"))
+    rest = cells.join(equal, ["source", "said"], "left_anti")
+    either = lambda rows: _holding(rows, known, "said", "short").select("source", "said", "name").unionByName(_holding(known, rows, "short", "said").select("source", "said", "name"))
+    cells = equal.select("source", "ref").unionByName(either(rest).groupBy("source", "said").agg(F.min("name").alias("ref")).select("source", "ref"))
+
+    headings = docs.select("source", found(r"(?mdU)^#{1,3}\s+(.+)$").alias("heading"))
+    forms = known.where(F.char_length("name") >= 3).select("name", F.explode(F.array_distinct(F.array("name", "short"))).alias("form"))
+    mentioned = _holding(forms, headings, "form", "heading").where("name <> source").select("source", F.col("name").alias("ref"))
+
+    said = docs.select("source", F.explode("declared").alias("said")).withColumn("own", F.trim("said")).where(F.char_length("own") >= 2)
+    bare = F.trim(F.replace(F.replace("own", F.lit(" 시스템"), F.lit("")), F.lit("시스템"), F.lit("")))
+    said = said.select("source", "own", F.explode(F.array_distinct(F.array("own", bare))).alias("said"))
+    pairs = _holding(said, known, "said", "short").select("source", "own", "name").unionByName(_holding(known, said, "short", "said").select("source", "own", "name"))
+    declared_ = pairs.where("name <> source").groupBy("source", "own").agg(F.min("name").alias("ref")).select("source", "ref")
+
+    rules = {"prefix": named, "cell": cells, "heading": mentioned, "declared": declared_}
+    out = [df.select("source", "ref", F.lit(rule).alias("rule")) for rule, df in rules.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).distinct()
+
+
+def related_systems(docs: DataFrame, system: str = "system", **columns: str) -> DataFrame:
+    """(src, dst), in both directions: the systems that ``extracted_edges`` leads to once their names are resolved."""
+    found = resolve_names(extracted_edges(docs, system, **columns), docs, node=system, source="source")
+    return symmetric(found, "source", "node")
 
 
 def paths_to_root(nodes: DataFrame, id_col: str, parent: str, name: str, most: int = 32) -> DataFrame:
