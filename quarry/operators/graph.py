@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -121,13 +123,13 @@ def related_systems(docs: DataFrame, system: str = "system", **columns: str) ->
     return symmetric(found, "source", "node")
 
 
-def paths_to_root(nodes: DataFrame, id_col: str, parent: str, name: str, most: int = 32) -> DataFrame:
-    """(id, path): names from the root down, joined by slashes. Cycles end after ``most`` parents."""
-    up = nodes.select(F.col(id_col).alias("id"), F.col(parent).alias("at"), F.col(name).alias("path"))
+def paths_to_root(nodes: DataFrame, id_col: str, parent: str, name: str, most: int | None = None) -> DataFrame:
+    """(id, path): names from the root down, joined by slashes. Nodes whose parents come round again have none; ``most`` bounds the depth if given."""
+    up = nodes.select(F.col(id_col).alias("id"), F.col(parent).alias("at"), F.col(name).alias("path"), F.array(F.col(id_col)).alias("seen"))
     parents = nodes.select(F.col(id_col).alias("at"), F.col(parent).alias("above"), F.col(name).alias("its"))
     done = up.where("at is null")
-    for _ in range(most):
-        up = cut(up.where("at is not null").join(parents, "at", "left").select("id", F.col("above").alias("at"), F.when(F.col("its").isNull(), F.col("path")).otherwise(F.concat_ws("/", "its", "path")).alias("path")), "path")
+    for _ in itertools.count() if most is None else range(most):
+        up = cut(up.where("at is not null and not array_contains(seen, at)").join(parents, "at", "left").select("id", F.col("above").alias("at"), F.when(F.col("its").isNull(), F.col("path")).otherwise(F.concat_ws("/", "its", "path")).alias("path"), F.array_append("seen", F.col("at")).alias("seen")), "path")
         done = done.unionByName(up.where("at is null"))
         if up.where("at is not null").limit(1).count() == 0:
             break

@@ -21,21 +21,20 @@ def containing(names: DataFrame, texts: DataFrame, name: str, text_id: str, text
     """(name, text id) of every text that holds the name as a run of whole words.
 
     Both sides become word n-grams of the names' lengths and meet by equality, so it is no
-    product of names and texts. ``names`` has few lengths in words; they are read first.
+    product of names and texts. All lengths in words that ``names`` has are read first.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0))
     parts = names.select(F.col(name), words(F.col(name)).alias("w")).where(F.size("w") > 0)
-    sizes = sorted(r["n"] for r in parts.select(F.size("w").alias("n")).distinct().limit(64).collect())
+    sizes = sorted(r["n"] for r in parts.select(F.size("w").alias("n")).distinct().collect())
     split = texts.select(F.col(text_id), words(F.col(text)).alias("w"))
-    found = None
-    for n in sizes:
-        have = split.where(F.size("w") >= n).select(text_id, F.explode(F.array_distinct(_grams(F.col("w"), n))).alias("g"))
-        met = parts.where(F.size("w") == n).select(name, F.array_join("w", " ").alias("g")).join(have, "g").select(name, text_id)
-        found = met if found is None else found.unionByName(met)
-    return found.distinct() if found is not None else names.select(name).join(texts.select(text_id), F.lit(False))
+    if not sizes:
+        return names.select(name).join(texts.select(text_id), F.lit(False))
+    each = split.select(text_id, "w", F.explode(F.array(*map(F.lit, sizes))).alias("n")).where(F.size("w") >= F.col("n"))
+    have = each.select(text_id, F.explode(F.array_distinct(_grams(F.col("w"), F.col("n")))).alias("g"))
+    return parts.select(name, F.array_join("w", " ").alias("g")).join(have, "g").select(name, text_id).distinct()
 
 
-def _grams(words: Column, n: int) -> Column:
+def _grams(words: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
