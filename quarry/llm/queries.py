@@ -87,12 +87,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     import public_tokenizers
 
     ranks = byte_bpe.load_ranks(spark, vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    ids = byte_bpe.bpe_encode(_documents(spark, sf_dir).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    out = byte_bpe.bpe_decode(ids.drop("text"), ranks)
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    out = byte_bpe.bpe_encode(docs, ranks, public_tokenizers.PATTERN, bytes_col="decoded", decoded_col="streamed").drop("text")
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.char_length("streamed").cast("long").alias("decoded_chars"),
     )
 
 

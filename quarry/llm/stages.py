@@ -52,8 +52,10 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids, decoded_sha256): each document's ids, and the digest of what they decode to."""
+    """(doc_id, lang, source, n_tokens, ids, decoded_sha256): each document's ids, and the digest of what they decode to.
+
+    Null and empty texts have no ids and decode to nothing; repeated rows are alike. An empty table gives no rows.
+    """
     ranks = byte_bpe.load_ranks(spark, vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    ids = byte_bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN).drop("text")
-    out = byte_bpe.bpe_decode(ids, ranks)
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = byte_bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN, decoded_col="streamed").drop("text")
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.encode("streamed", "UTF-8"), 256).alias("decoded_sha256"))

@@ -66,3 +66,49 @@ def test_edges(spark, edge_documents, ranks, definition):
     assert B.bpe_encode(edge_documents.where("false"), ranks, public_tokenizers.PATTERN).count() == 0
     odd = spark.createDataFrame([(1, [99999999]), (2, None), (3, []), (4, [None])], "id long, ids array<int>")
     assert [r.decoded for r in B.bpe_decode(odd, ranks).orderBy("id").collect()] == [None, None, b"", None]
+
+
+def test_other_patterns_and_long_pieces(ranks):
+    """A pattern whose cuts aren't known goes through the regular expression; long pieces emit window by window."""
+    import tiktoken
+
+    pattern = r"\p{L}+|[^\p{L}]"
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    rng = random.Random(5)
+    for text in ["it's 12  x\n\ny", "".join(rng.choice("abcdeinrst") for _ in range(5000)), "=" * 3000, "ab" * 2000 + " end", "", "日本" * 900]:
+        assert list(memoryview(B.Encoder(ranks, pattern).encode(text)).cast("i")) == own(text)
+        assert list(memoryview(B.Encoder(ranks, public_tokenizers.PATTERN).encode(text)).cast("i")) == known(text)
+
+
+def test_states_whose_digests_meet_stay_apart(ranks, monkeypatch):
+    """With digests of three bits nearly all lists of threads collide; ids stay right."""
+    import numpy as np
+
+    monkeypatch.setattr(B, "mix", lambda x: x & np.uint64(7))
+    machine, rng = B.Transducer(ranks), random.Random(6)
+    for _ in range(100):
+        piece = bytes(rng.choice(b"abcdehinorst ") for _ in range(rng.randrange(1, 25)))
+        assert machine.encode_piece(piece) == B.merged(ranks, piece)
+
+
+def test_tokens_that_no_merges_reach():
+    small = {bytes([b]): b for b in range(256)} | {b"abcd": 256}
+    encoder = B.Encoder(small, public_tokenizers.PATTERN)
+    assert list(memoryview(encoder.encode("abcd abcd")).cast("i")) == [256, 32, 97, 98, 99, 100]
+
+
+def test_states_are_forgotten(ranks, monkeypatch):
+    monkeypatch.setattr(B, "KEEP_STEPS", 50)
+    machine, rng = B.Transducer(ranks), random.Random(7)
+    for _ in range(200):
+        piece = bytes(rng.choice(b"abcdehinorst ") for _ in range(rng.randrange(1, 30)))
+        assert machine.encode_piece(piece) == B.merged(ranks, piece)
+    long = bytes(rng.choice(b"abcde") for _ in range(1500))
+    assert machine.encode_piece(long) == B.merged(ranks, long)
+
+
+def test_round_trip_of_a_text_of_fifty_megabytes(spark, ranks):
+    docs = spark.range(1).selectExpr("id as doc_id", "repeat('the quick Brown fox''s 12 jumps, oder über ', 1400000) as text")
+    out = B.bpe_encode(docs, ranks, public_tokenizers.PATTERN, decoded_col="again")
+    assert out.selectExpr("again = text and size(ids) > 10000000").first()[0]
