@@ -67,8 +67,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).select("doc_id", "text")
-    found = secret_scan.scan_secrets(docs, secret_scan.control(docs)).drop("text")
+    found = secret_scan.find_secrets(_documents(spark, sf_dir).select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])],
