@@ -9,6 +9,8 @@ k-th exact score. Blocks' best k are merged by a distributed ranking.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,20 +24,31 @@ VECTOR_BLOCK, QUERY_BLOCK, READ = 8192, 256, 64
 CELLS = 16
 
 
-def scaled(vector, factor: int):
-    """floor(factor * x) of each component, x as double; null if a component is null or not finite, or the score could pass a long."""
-    cells = F.transform(vector, lambda x: F.floor(x.cast("double") * factor))
-    limit = F.sqrt(F.lit(2.0**62) / F.greatest(F.size(vector), F.lit(1)))
-    plain = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double") * factor) <= limit))
-    return F.when(vector.isNotNull() & plain, cells)
+def usable(vector):
+    """The vector as doubles; null if it or a component is null or not finite."""
+    doubles = F.transform(vector, lambda x: x.cast("double"))
+    return F.when(vector.isNotNull() & F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), doubles)
+
+
+def is_wide(vector, factor: int):
+    """Whether products of this vector could pass a long, even with another that isn't wide; such are counted with whole numbers of any size."""
+    return F.exists(vector, lambda x: F.abs(x * factor) > F.sqrt(F.lit(2.0**62) / F.greatest(F.size(vector), F.lit(1))) - 1)
+
+
+def scaled(data: np.ndarray, factor: int, wide: bool) -> np.ndarray:
+    """floor(factor * x) of each component; ``wide`` ones as Python's integers."""
+    if not wide:
+        return np.floor(data * factor).astype(np.int64)
+    whole = lambda x: int(x) * factor if abs(x) >= 2.0**53 else math.floor(x * factor)
+    return np.array([[whole(x) for x in row] for row in data.tolist()], object).reshape(data.shape)
 
 
 class CellFile:
     """Cell numbers of a block of vectors and the borders of the cells."""
 
     def __init__(self, exact: np.ndarray, cells: int = CELLS):
-        self.low = exact.min(axis=0) if len(exact) else np.zeros(exact.shape[1], np.int64)
-        width = (exact.max(axis=0) - self.low if len(exact) else self.low) // cells + 1
+        self.low = exact.min(axis=0) if exact.size else np.zeros(exact.shape[1], np.int64)
+        width = (exact.max(axis=0) - self.low if exact.size else self.low) // cells + 1
         self.cell = ((exact - self.low) // width).astype(np.uint8)
         self.floor = self.low + np.arange(cells)[:, None] * width
         self.ceil = self.floor + width - 1
@@ -43,7 +56,7 @@ class CellFile:
     def bounds(self, query: np.ndarray) -> np.ndarray:
         """Upper bounds of the query's scores, by a table of cells and dimensions."""
         table = np.maximum(self.floor * query, self.ceil * query)
-        total = np.zeros(len(self.cell), np.int64)
+        total = np.zeros(len(self.cell), table.dtype)
         for d in range(len(query)):
             total += table[:, d][self.cell[:, d]]
         return total
@@ -61,7 +74,8 @@ def best(query: np.ndarray, own: int, ids: np.ndarray, exact: np.ndarray, file:
         part = order[at : at + READ]
         top = np.r_[top, exact[part] @ query]
         top_ids = np.r_[top_ids, ids[part]]
-        keep = np.lexsort((top_ids, -top))[:k]
+        keep = np.argsort(top_ids, kind="stable")
+        keep = keep[np.argsort(-top[keep], kind="stable")][:k]
         top, top_ids = top[keep], top_ids[keep]
         at += len(part)
     return top_ids.tolist(), top.tolist(), min(at, len(order))
@@ -72,33 +86,33 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
 
     Components become floor(factor * x); the score is the integer inner product; ties go to the
     smaller id. Vectors of the query's id are not its results. Null vectors, vectors with a null or
-    non-finite component, with a component so large that a score could pass a long, or with a null
-    id take no part. Vectors of unlike length aren't compared. A repeated row of a vector is a
+    non-finite component, and those with a null id take no part. Components of any finite size are counted exactly; a score
+    beyond a long is told as the nearest long and ranks as that. Vectors of unlike length aren't compared. A repeated row of a vector is a
     candidate of its own; a repeated query row is one query. Other columns are not read.
     """
 
     def ready(df: DataFrame) -> DataFrame:
-        rows = df.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col), factor).alias("v"))
-        return rows.where("id is not null and v is not null").withColumn("dim", F.size("v"))
+        rows = df.select(F.col(id_col).cast("long").alias("id"), usable(F.col(vector_col)).alias("v")).where("id is not null and v is not null")
+        return rows.withColumns({"dim": F.size("v"), "wide": is_wide(F.col("v"), factor)})
 
     stored, asked = ready(vectors), ready(queries).dropDuplicates(["id", "v"])
     n_stored, n_asked = stored.count(), asked.count()
     n_blocks, n_sets = 1 + n_stored // vector_block, 1 + n_asked // query_block
 
     def blocks(df: DataFrame, n: int, salt: int) -> DataFrame:
-        fields = [("block", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())]
+        fields = [("block", pa.int32()), ("dim", pa.int32()), ("wide", pa.bool_()), ("ids", pa.binary()), ("data", pa.binary())]
 
         def fill(table: pa.Table) -> pa.Table:
             dim = table["dim"][0].as_py()
             ids = table["id"].to_numpy()
             order = np.argsort(ids, kind="stable")
-            data = np.array(table["v"].combine_chunks().flatten(), np.int64).reshape(len(ids), dim)
-            return columns([(table["block"][0].as_py(), dim, pack(ids[order]), pack(data[order]))], fields)
+            data = np.array(table["v"].combine_chunks().flatten(), np.float64).reshape(len(ids), dim)
+            return columns([(table["block"][0].as_py(), dim, table["wide"][0].as_py(), pack(ids[order]), pack(data[order]))], fields)
 
         dealt = df.withColumn("block", F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(n)).cast("int"))
-        return dealt.groupBy("block", "dim").applyInArrow(fill, "block int, dim int, ids binary, data binary")
+        return dealt.groupBy("block", "dim", "wide").applyInArrow(fill, "block int, dim int, wide boolean, ids binary, data binary")
 
-    sets = blocks(asked, n_sets, 1).select(F.col("block").alias("set"), "dim", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
+    sets = blocks(asked, n_sets, 1).select(F.col("block").alias("set"), "dim", F.col("wide").alias("query_wide"), F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
     each = blocks(stored, n_blocks, 2).withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(n_sets - 1))))
     pairs = each.join(sets, ["set", "dim"])
 
@@ -108,12 +122,13 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
             for pair in batch.to_pylist():
                 dim = pair["dim"]
                 ids, query_ids = np.frombuffer(pair["ids"], np.int64), np.frombuffer(pair["query_ids"], np.int64)
-                exact = np.frombuffer(pair["data"], np.int64).reshape(len(ids), dim)
+                wide = pair["wide"] or pair["query_wide"]
+                exact = scaled(np.frombuffer(pair["data"], np.float64).reshape(len(ids), dim), factor, wide)
                 file = CellFile(exact)
                 rows = []
-                for own, query in zip(query_ids.tolist(), np.frombuffer(pair["query_data"], np.int64).reshape(len(query_ids), dim), strict=True):
+                for own, query in zip(query_ids.tolist(), scaled(np.frombuffer(pair["query_data"], np.float64).reshape(len(query_ids), dim), factor, wide), strict=True):
                     found, scores, reads = best(query, own, ids, exact, file, k)
-                    rows += [(own, i, s, reads) for i, s in zip(found, scores, strict=True)]
+                    rows += [(own, i, max(-(1 << 63), min((1 << 63) - 1, s)), reads) for i, s in zip(found, scores, strict=True)]
                 yield from columns(rows, fields).to_batches()
 
     found = pairs.mapInArrow(search, "query_id long, vec_id long, score long, reads long")

@@ -40,3 +40,22 @@ def test_edges(spark):
         got = sorted(tuple(r)[:4] for r in exact_topk(df, df.where("vec_id % 100 = 0"), k=3, vector_block=size, query_block=1).collect())
         assert got == brute(rows, lambda q: q % 100 == 0, 3)
     assert exact_topk(df.where("false"), df, k=3).count() == 0 and exact_topk(df, df.where("false"), k=3).count() == 0
+
+
+def test_large_components_take_part(spark):
+    """Only null and non-finite components bar a vector; scores that fit a long are exact."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(120)]
+    rows[7][1][3], rows[100][1][5], rows[11][1][0] = 300000.0, -250000.25, 1e9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, exact_topk(df, df.where("vec_id % 100 = 0"), k=10).collect()))
+    assert got == brute(rows, lambda q: q % 100 == 0, 10) and any(r[2] == 7 for r in got) and any(r[2] == 11 for r in got)
+    rows[0][1][2] = 1e300
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    top = {r["rank"]: r["score"] for r in exact_topk(df, df.where("vec_id = 0"), k=119).collect()}
+    assert len(top) == 119 and top[1] == 2**63 - 1 and top[119] == -(2**63)
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in exact_topk(df, df.where("vec_id = 0"), k=2).orderBy("rank").collect()] == [(0, 1, 1, 2 * 1024**2), (0, 2, 1, 2 * 1024**2)]
