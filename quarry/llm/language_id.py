@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .words import slices, text_buffer
@@ -161,20 +162,30 @@ def build(languages: list[str], order: int, counts: list[tuple[np.ndarray, np.nd
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = 3, bytes_per_language: int = 4 << 20, max_languages: int = 256, seed: int = 11) -> Model:
     """Fits the trees on a bounded sample of labelled rows.
 
-    Of each language whole texts are drawn by a hash of the text until about
-    ``bytes_per_language`` bytes (all of them, if there are fewer). Rows whose text or language is
-    null are left out. More than ``max_languages`` languages are refused.
+    Of each language the distinct texts of smallest hashes are drawn, as long as they have ``bytes_per_language`` bytes
+    together, and always the first. A text longer than a sixteenth of that gives a piece of so many characters, from a
+    place drawn by its hash. So no language is left out, whatever its copies or its longest text, and the sample has at most
+    ``bytes_per_language`` bytes for each language (or a quarter of that and one text's piece). Copies count once. Rows whose
+    text or language is null and empty texts are left out. More than ``max_languages`` languages are refused.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sums = rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("b")).limit(max_languages + 1).collect()
-    if len(sums) > max_languages:
+    piece = max(1, bytes_per_language // 16)
+    most = max(1, bytes_per_language // 64)
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null and text <> ''")
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(seed)))
+    long = F.char_length("text") > piece
+    at = F.pmod(F.col("h"), F.char_length("text") - piece + 1).cast("int") + 1
+    rows = rows.select("lang", "h", F.when(long, F.substr("text", at, F.lit(piece))).otherwise(F.col("text")).alias("text"))
+    sizes = rows.groupBy("lang", "h").agg(F.max(F.octet_length("text")).cast("long").alias("b"))
+    by_hash = W.partitionBy("lang").orderBy("h")
+    first = sizes.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= most)  # cut before the shuffle, too
+    taken = first.withColumn("total", F.sum("b").over(by_hash.rowsBetween(W.unboundedPreceding, 0))).where((F.col("total") <= bytes_per_language) | (F.col("rank") == 1))
+    limits = taken.groupBy("lang").agg(F.max("h").alias("limit")).limit(max_languages + 1).collect()
+    if len(limits) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    sums = {r["lang"]: r["b"] for r in sums if r["b"]}
-    if not sums:
+    if not limits:
         return build([], order, [])
-    scale = 1 << 30
-    limit = F.create_map(*[F.lit(x) for lang, b in sums.items() for x in (lang, min(scale, scale * bytes_per_language // b))])
-    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(scale)) < limit[F.col("lang")])
+    limit = F.create_map(*[F.lit(x) for r in limits for x in (r["lang"], r["limit"])])
+    drawn = rows.where(F.col("h") <= limit[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
 
     def count(batches):
         for batch in batches:
@@ -207,7 +218,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
 def identify(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", rate_col: str = "bits_per_byte") -> DataFrame:
     """Adds language, its probability among the learned ones, and bits a byte under it.
 
-    Null text, or text without a letter, or an empty model: ``und``, 0 and null. All columns
+    Null text, or text without a letter, or an empty model: ``und``, 0 and null. Rows are judged alone, so repeated
+    ones are alike; an empty table gives no rows; a very long text takes some 60 bytes for each of its own. All columns
     stay; one named like an added one is replaced. Ties go to the language first by name.
     """
     df = df.drop(lang_col, score_col, rate_col)

@@ -64,3 +64,23 @@ def test_edges(spark, edge_documents):
     nothing = L.fit(edge_documents.where("false"))
     assert {r.lang_pred for r in L.identify(edge_documents, nothing).collect()} == {"und"}
     assert L.identify(edge_documents.where(F.lit(False)), model).count() == 0
+
+
+def test_no_language_is_left_out_of_a_bounded_sample(spark):
+    """Copies count once, a long text gives a piece, and each language has a part."""
+    rows = [("the same words again and again", "en")] * 3000 + [("xylophon qux " * 40000, "xx"), ("ein kurzer Satz", "de")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    for bound in (1 << 20, 4096, 16):
+        model = L.fit(df, bytes_per_language=bound)
+        assert model.languages == ["de", "en", "xx"]
+    named = {r.text: r.lang_pred for r in L.identify(df.select("text").distinct(), L.fit(df, bytes_per_language=1 << 16)).collect()}
+    assert all(named[t] == lang for t, lang in set(rows))
+    assert len(L.fit(df, bytes_per_language=1 << 16).grams[-1].key) < 1 << 12
+
+
+def test_repeated_rows_and_a_long_text(spark):
+    df = spark.createDataFrame([("some words here", "en"), ("quelques mots ici", "fr")], "text string, lang string")
+    model = L.fit(df)
+    long = spark.range(1).selectExpr("repeat('some words here ', 3200000) as text")
+    out = L.identify(df.select("text").union(df.select("text")).union(long), model).collect()
+    assert len(out) == 5 and sorted(r.lang_pred for r in out) == ["en", "en", "en", "fr", "fr"]
