@@ -3,8 +3,9 @@
 Every document is cut into non-overlapping reference blocks of half a window. Any
 window of a document holds one whole block of it, so a repeated window shows itself
 as a rolling block-wide window of another place that equals a reference block. Only
-windows that hold such a hit are extended to whole windows and compared exactly;
-runs of repeated windows are the maximal repeats, and their words go.
+windows that hold such a hit are extended to whole windows, which are compared by two
+independent 64-bit hashes of their words; runs of repeated windows are the maximal
+repeats, and their words go.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .words import inside, rolling, split_words, word_hashes
 _RESULT = "doc long, n_words long, n_removed long, kept_text string, spans array<int>"
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, chunk_bytes: int = C.CHUNK_BYTES, bucket_values: int = C.BUCKET_VALUES) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, chunk_bytes: int = C.CHUNK_BYTES, bucket_values: int = C.BUCKET_VALUES, first_bits: int = 64) -> DataFrame:
     """Removes every word that lies in a window whose words also start in a document with a smaller id.
 
     Returns a row for each input row: ``id_col``, ``n_words``, ``n_removed``,
@@ -31,8 +32,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other and equal to other null ids. Rows that share an id don't remove each other's
     words. Empty input: no rows. Other columns are not read.
 
-    Windows are judged on the input. They are compared by 64-bit hashes within a bucket,
-    which is some 2^72 to 2^84 values in all.
+    Windows are judged on the input. Two are the same if both of their 64-bit hashes are, which have unlike word
+    hashes and unlike bases. ``first_bits`` narrows the first one, for tests. A very long text is one task's work, with
+    some 150 bytes for each of its own.
     """
     block = max(1, window // 2)
     n_rows, n_bytes = C.sizes(docs, text_col)
@@ -55,12 +57,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         words = split_words(texts)
         keys, ok = rolling_keys(words, block, n_buckets)
         hit = np.r_[0, np.cumsum(C.members(keys, known) & ok)]
-        wholes, ok = whole_windows(words, window)
+        wholes, ok = whole_windows(words, window, first_bits)
         first = np.arange(len(wholes))
         at = np.flatnonzero((hit[first + window - block + 1] > hit[first]) & ok)
         wholes, doc = wholes[at], words.doc_of[at]
-        order = np.argsort(wholes, kind="stable")  # documents are in order, so a run starts with its smallest
-        order = order[C.runs(wholes[order])]
+        order = in_pairs(wholes)  # documents are in order, so a run starts with its smallest
+        order = order[pair_runs(wholes[order])]
         wholes, doc = wholes[order], ids[doc[order]]
         bucket = bucket_of(wholes, n_buckets)
         order = np.lexsort((doc, bucket))
@@ -73,10 +75,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return C.columns(rows, fields)
 
     def smallest(table: pa.Table) -> pa.Table:
-        keys, row = C.unpack(table["keys"], np.uint64)
+        keys, row = C.unpack(table["keys"], PAIR)
         doc = np.repeat(C.unpack(table["docs"], np.int64)[0], C.unpack(table["counts"], np.uint32)[0])
-        order = np.argsort(keys, kind="stable")
-        first = C.runs(keys[order])
+        order = in_pairs(keys)
+        first = pair_runs(keys[order])
         least = np.minimum.reduceat(doc[order], first) if len(first) else doc
         later = np.empty(len(keys), bool)
         later[order] = doc[order] > np.repeat(least, np.diff(np.r_[first, len(keys)]))
@@ -88,12 +90,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         ids, texts = C.in_order(table)
         words = split_words(texts)
-        wholes, ok = whole_windows(words, window)
+        wholes, ok = whole_windows(words, window, first_bits)
         doc_of = words.doc_of
-        later = C.members(wholes, np.unique(C.unpack(answers["later"], np.uint64)[0])) & ok
+        later = pair_members(wholes, C.unpack(answers["later"], PAIR)[0]) & ok
         at = np.flatnonzero(ok)
-        order = at[np.argsort(wholes[at], kind="stable")]
-        first = C.runs(wholes[order])
+        order = at[in_pairs(wholes[at])]
+        first = pair_runs(wholes[order])
         least = np.repeat(ids[doc_of[order[first]]], np.diff(np.r_[first, len(order)]))
         later[order] |= ids[doc_of[order]] > least
         turn = np.zeros(len(words.starts) + 1, np.int64)
@@ -115,14 +117,51 @@ def rolling_keys(words, width: int, n_buckets: int) -> tuple[np.ndarray, np.ndar
     return C.bucket_keys(values, n_buckets), inside(words.bounds, width, len(values))
 
 
-def whole_windows(words, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of whole windows from word hashes of another seed than the blocks have."""
-    values = rolling(word_hashes(words, seed=1), width, base=0x2545F4914F6CDD1D)
-    return values, inside(words.bounds, width, len(values))
+#: The two hashes of a whole window.
+PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
+
+
+def whole_windows(words, width: int, first_bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of hashes of whole windows, from word hashes of two more seeds than the blocks have."""
+    a = rolling(word_hashes(words, seed=1), width, base=0x2545F4914F6CDD1D)
+    out = np.empty(len(a), PAIR)
+    out["a"] = a >> np.uint64(64 - first_bits)
+    out["b"] = rolling(word_hashes(words, seed=2), width, base=0x106689D45497FDB5)
+    return out, inside(words.bounds, width, len(out))
+
+
+def in_pairs(pairs: np.ndarray) -> np.ndarray:
+    """A stable order in which equal pairs stand together."""
+    order = np.argsort(pairs["a"], kind="stable")
+    a, b = pairs["a"][order], pairs["b"][order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        return np.lexsort((pairs["b"], pairs["a"]))
+    return order
+
+
+def pair_runs(pairs: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal pairs, which stand together."""
+    a, b = pairs["a"], pairs["b"]
+    return np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
+
+
+def pair_members(pairs: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each pair is among the known ones."""
+    found = np.zeros(len(pairs), bool)
+    if len(known):
+        known = known[in_pairs(known)]
+        at = np.flatnonzero(C.members(pairs["a"], known["a"]))
+        low, high = (np.searchsorted(known["a"], pairs["a"][at], side) for side in ("left", "right"))
+        while len(at):
+            found[at[known["b"][low] == pairs["b"][at]]] = True
+            low += 1
+            on = low < high
+            at, low, high = at[on], low[on], high[on]
+    return found
 
 
 def bucket_of(wholes: np.ndarray, n_buckets: int) -> np.ndarray:
-    return (wholes % np.uint64(n_buckets)).astype(np.int32)
+    return (wholes["b"] % np.uint64(n_buckets)).astype(np.int32)
 
 
 def kept(ids: np.ndarray, words, gone: np.ndarray) -> pa.Table:

@@ -50,3 +50,21 @@ def test_edges(spark, edge_documents):
     assert by[7].spans == [0, 7]
     assert by[None].kept_text == "a null id"
     assert substring_dedup(edge_documents.where("false")).count() == 0
+
+
+def test_narrow_first_hash(spark, documents):
+    """With a first hash of two bits the second one tells windows apart."""
+    rows = [(r.doc_id, r.text) for r in documents.limit(40).collect()]
+    rows += [(1000, rows[3][1]), (1001, "a b " * 40), (1002, "a b " * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(df, window=8, first_bits=2).collect()}
+    assert got == brute(rows, 8)
+
+
+def test_repeated_rows_and_a_long_text(spark):
+    """Rows of one id leave each other's words alone; a text of 50 MB passes."""
+    own = " ".join(f"w{i}" for i in range(60))
+    long = spark.range(1).selectExpr("cast(9 as long) as doc_id", "array_join(transform(sequence(1, 5500000), i -> concat('word', cast(i as string))), ' ') as text")
+    df = spark.createDataFrame([(1, own), (1, own), (2, own + " end")], "doc_id long, text string").unionByName(long)
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(df, window=50).select("doc_id", "n_words", "n_removed").collect())
+    assert got == [(1, 60, 0), (1, 60, 0), (2, 61, 60), (9, 5500000, 0)]
