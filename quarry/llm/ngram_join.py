@@ -31,7 +31,7 @@ MOST_MATCHES, BLOCK = 64, 1024
 #: What a shingle in a prefix costs beside the classes that it is compared with.
 SEND = 20
 #: Rounds in which each class tries its most promising partner only, before all that are left.
-TRIES = 2
+TRIES = 1
 
 
 def least_overlap(n, percent: int):
@@ -39,10 +39,11 @@ def least_overlap(n, percent: int):
     return -(-n * percent // 100)
 
 
-def _digest(own: np.ndarray) -> tuple[int, int]:
-    """Two digests of a set: sums of unlike mixes of its shingles."""
+def _digest(own: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two digests of a set: sums of unlike mixes of its shingles. ``bits`` narrows the first, for tests."""
     size = np.uint64(len(own))
-    return tuple(int(mix((mix(own ^ np.uint64(seed)).sum(dtype=np.uint64) + size).reshape(1))[0].view(np.int64)) for seed in (0x243F6A8885A308D3, 0x13198A2E03707344))
+    a, b = (int(mix((mix(own ^ np.uint64(seed)).sum(dtype=np.uint64) + size).reshape(1))[0].view(np.int64)) for seed in (0x243F6A8885A308D3, 0x13198A2E03707344))
+    return a >> (64 - bits), b
 
 
 def _sets(texts, shingle: int) -> list[np.ndarray]:
@@ -63,40 +64,44 @@ def prefix_matches(df: np.ndarray, n: int, percent: int) -> int:
     return int(matches[np.argmin(SEND * sent + postings + postings / matches * (1 + n / 10))])
 
 
-def classes(dealt: DataFrame, shingle: int) -> DataFrame:
+def classes(dealt: DataFrame, shingle: int, bits: int = 64) -> DataFrame:
     """For each document, dealt to chunks, its set's size and digests."""
 
     def digest(table: pa.Table) -> pa.Table:
         ids, texts = C.in_order(table)
         rows = []
         for i, own in zip(ids.tolist(), _sets(texts, shingle), strict=True):
-            a, b = _digest(own)
+            a, b = _digest(own, bits)
             rows.append((table["chunk"][0].as_py(), i, len(own), a, b))
         return C.columns(rows, [("chunk", pa.int32()), ("doc", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     return dealt.groupBy("chunk").applyInArrow(digest, "chunk int, doc long, n long, a long, b long")
 
 
-def prefixes(dealt: DataFrame, rows: DataFrame, shingle: int, percent: int, n_buckets: int) -> DataFrame:
+def held_classes(rows: DataFrame) -> DataFrame:
+    """(a, b, n, first, chunk, class): documents with equal sets, the least of them, and a number for the class. Needs a cut, as numbers are by place."""
+    held = rows.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("doc", "chunk")).alias("at"))
+    return held.select("a", "b", "n", F.col("at.doc").alias("first"), F.col("at.chunk").alias("chunk"), F.monotonically_increasing_id().alias("class"))
+
+
+def prefixes(dealt: DataFrame, held: DataFrame, shingle: int, percent: int, n_buckets: int, bits: int = 64) -> DataFrame:
     """(class, n, matches, rest, own, prefix, shared): of each class with a prefix shingle that another class holds as well.
 
     ``rest`` is the number of shingles behind the prefix, ``own`` that of those no other class holds, ``prefix`` its shingles with another holder, ``shared``
     all of the set's shingles with another holder (packed).
     """
-    held = rows.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("doc", "chunk")).alias("at"))
-    held = held.select(F.col("at.chunk").alias("chunk"), "a")
+    held = held.select("chunk", "a", "b", "class")
 
     def own_sets(table: pa.Table, held: pa.Table):
-        """This chunk's classes with their sets; a class is the first row that has its digest."""
+        """This chunk's classes with their sets; a class is the first row that has its digests."""
         if not held.num_rows:
             return
-        left = set(held["a"].to_pylist())
+        left = dict(zip(zip(held["a"].to_pylist(), held["b"].to_pylist(), strict=True), held["class"].to_pylist(), strict=True))
         _, texts = C.in_order(table)
         for own in _sets(texts, shingle):
-            a = _digest(own)[0]
-            if a in left:
-                left.discard(a)
-                yield a, own
+            number = left.pop(_digest(own, bits), None)
+            if number is not None:
+                yield number, own
 
     def probe(table: pa.Table, held: pa.Table) -> pa.Table:
         sets = [own for _, own in own_sets(table, held)]
@@ -140,7 +145,7 @@ def prefixes(dealt: DataFrame, rows: DataFrame, shingle: int, percent: int, n_bu
         order = np.argsort(known)
         known, df = known[order], df[order]
         out = []
-        for a, own in own_sets(table, held):
+        for number, own in own_sets(table, held):
             keys = C.bucket_keys(own, n_buckets)
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
             found = known[at] == keys
@@ -154,12 +159,12 @@ def prefixes(dealt: DataFrame, rows: DataFrame, shingle: int, percent: int, n_bu
             sent = order[:length]
             sent = sent[often[sent] > 1]
             if len(sent):
-                out.append((a, n, matches, n - length, int((often <= 1).sum()), own[sent].view(np.int64).tolist(), C.pack(own[found])))
+                out.append((number, n, matches, n - length, int((often <= 1).sum()), own[sent].view(np.int64).tolist(), C.pack(own[found])))
         return C.columns(out, fields)
 
     asked = dealt.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInArrow(probe, "bucket int, chunk int, probes binary, many binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(count, "chunk int, bucket int, hits binary, df binary")
-    both = answers.withColumn("a", F.lit(None).cast("long")).unionByName(held.select("chunk", "a"), allowMissingColumns=True)
+    both = answers.withColumns({c: F.lit(None).cast("long") for c in ("a", "b", "class")}).unionByName(held, allowMissingColumns=True)
     return dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(choose, "class long, n long, matches int, rest long, own long, prefix array<long>, shared binary")
 
 
@@ -281,7 +286,7 @@ def _cuts(n_columns: int, own: int, width: int = 4096):
     return zip(edges[:-1], edges[1:], strict=True)
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85, shingles_col: str = "n_shingles", component_col: str = "component_id", chunk_bytes: int = C.CHUNK_BYTES, bucket_values: int = C.BUCKET_VALUES, block: int = BLOCK) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85, shingles_col: str = "n_shingles", component_col: str = "component_id", chunk_bytes: int = C.CHUNK_BYTES, bucket_values: int = C.BUCKET_VALUES, block: int = BLOCK, digest_bits: int = 64) -> DataFrame:
     """Documents by classes of linked shingle sets; a row for each input row: id, set size and component.
 
     Two documents link when 100 * shared shingles >= ``percent`` * shingles of either. Words are runs of anything
@@ -292,18 +297,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component only of documents that link with no other. Repeated rows are alike. Empty input: no rows. Other
     columns are not read.
 
-    Sets are compared by 64-bit shingle hashes; a class is known by two 64-bit digests of its set.
+    Sets are compared by 64-bit shingle hashes; a class is known by two 64-bit digests of its set and its size.
+    ``digest_bits`` narrows the first, for tests. A very long text is one task's work, with some 150 bytes for each of its own.
     """
     _, n_bytes = C.sizes(docs, text_col)
     dealt = C.in_chunks(docs, id_col, text_col, 1 + n_bytes // chunk_bytes)
-    rows = cut(classes(dealt, shingle), "sets")
-    sets = cut(prefixes(dealt, rows, shingle, percent, 1 + n_bytes // 6 // bucket_values), "prefixes")
+    rows = cut(classes(dealt, shingle, digest_bits), "sets")
+    held = cut(held_classes(rows), "classes")
+    sets = cut(prefixes(dealt, held, shingle, percent, 1 + n_bytes // 6 // bucket_values, digest_bits), "prefixes")
     component = links_of(sets, percent, block)
-    least = F.min("doc")
-    own = rows.where("n > 0").groupBy("a").agg(least.alias("first"))
-    own = own.join(component, own["a"] == component["node"], "left").select("a", "first", F.coalesce("component", "a").alias("component"))
+    own = held.join(component, held["class"] == component["node"], "left").select("a", "b", "n", "first", F.coalesce("component", "class").alias("component"))
     named = own.groupBy("component").agg(F.min("first").alias("name"))
-    joined = rows.join(own.join(named, "component").select("a", "name"), "a", "left")
+    joined = rows.join(own.join(named, "component").select("a", "b", "n", "name"), ["a", "b", "n"], "left")
     known = lambda c: F.when(c < F.lit(int(_LAST)), c)
     return joined.select(known(F.col("doc")).alias(id_col), F.col("n").alias(shingles_col), known(F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc"))).alias(component_col))
 

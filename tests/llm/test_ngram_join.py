@@ -81,3 +81,10 @@ def test_edges(spark, edge_documents):
     twice = ngram_join(edge_documents.union(edge_documents))
     assert twice.count() == 2 * len(rows) and result(twice) == got
     assert ngram_join(edge_documents.where("false")).count() == 0
+
+
+def test_narrow_first_digest(spark, sf_dir, documents):
+    """With a first digest of two bits the second one tells sets apart."""
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(documents, digest_bits=2).collect()}
+    assert got == brute(rows, 4, 85)
