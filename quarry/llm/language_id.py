@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import cut
 from .words import slices, text_buffer
 
 UNKNOWN = "und"
@@ -175,16 +176,20 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
     long = F.char_length("text") > piece
     at = F.pmod(F.col("h"), F.char_length("text") - piece + 1).cast("int") + 1
     rows = rows.select("lang", "h", F.when(long, F.substr("text", at, F.lit(piece))).otherwise(F.col("text")).alias("text"))
-    sizes = rows.groupBy("lang", "h").agg(F.max(F.octet_length("text")).cast("long").alias("b"))
-    by_hash = W.partitionBy("lang").orderBy("h")
-    first = sizes.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= most)  # cut before the shuffle, too
-    taken = first.withColumn("total", F.sum("b").over(by_hash.rowsBetween(W.unboundedPreceding, 0))).where((F.col("total") <= bytes_per_language) | (F.col("rank") == 1))
-    limits = taken.groupBy("lang").agg(F.max("h").alias("limit")).limit(max_languages + 1).collect()
-    if len(limits) > max_languages:
+    sizes = cut(rows.groupBy("lang", "h").agg(F.max(F.octet_length("text")).cast("long").alias("b")), "languages")
+    whole = sizes.groupBy("lang").agg(F.sum("b").alias("b"), F.min("h").alias("h")).limit(max_languages + 1).collect()
+    if len(whole) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    if not limits:
+    if not whole:
         return build([], order, [])
-    limit = F.create_map(*[F.lit(x) for r in limits for x in (r["lang"], r["limit"])])
+    # of the smallest hashes, twice as many bytes as wanted are expected; only those are put in order
+    share = F.create_map(*[F.lit(x) for r in whole for x in (r["lang"], min(1.0, 2.0 * bytes_per_language / r["b"]))])
+    few = sizes.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= share[F.col("lang")])
+    by_hash = W.partitionBy("lang").orderBy("h")
+    first = few.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= most)
+    taken = first.withColumn("total", F.sum("b").over(by_hash.rowsBetween(W.unboundedPreceding, 0))).where(F.col("total") <= bytes_per_language)
+    limits = {r["lang"]: r["h"] for r in whole} | {r["lang"]: r["limit"] for r in taken.groupBy("lang").agg(F.max("h").alias("limit")).collect()}
+    limit = F.create_map(*[F.lit(x) for x in (z for pair in limits.items() for z in pair)])
     drawn = rows.where(F.col("h") <= limit[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
 
     def count(batches):
