@@ -13,14 +13,15 @@ from quarry.functions import text as X
 
 # Marks that a conversion leaves in a heading.
 CONTINUED = r"\s*\((?:계속|이어서|continued|cont\.)\)\s*$"
+CONTINUED_HEADING = r"(?m)^(#{1,6}[ \t].*?)[ \t]*\((?:계속|이어서|continued|cont\.)\)[ \t]*$"
 TILE = r"(?m)^#{1,6}\s*(?:타일|섹션|Tile|Section)\s*\d+(?:\s*[/-]\s*\d+)?\s*$\n?"
 ANALYSIS = r"(?m)^(?:>\s*)?(?:분석 단계|분석 메모|Analysis (?:step|note))\b.*$\n?"
 
 
-def without_marks(text: Column) -> Column:
-    """Without tile and analysis headings, marks of continuation, and more than two blank lines."""
+def without_marks(text: Column, continued: bool = True) -> Column:
+    """Without tile and analysis headings, headings' marks of continuation (unless ``continued`` says that they are still needed), and more than two blank lines."""
     out = F.regexp_replace(F.regexp_replace(text, TILE, ""), ANALYSIS, "")
-    out = F.regexp_replace(out, "(?m)" + CONTINUED, "")
+    out = F.regexp_replace(out, CONTINUED_HEADING, "$1") if continued else out
     return F.regexp_replace(out, r"\n{4,}", "\n\n\n")
 
 
@@ -93,12 +94,13 @@ def without_stubs(sections: DataFrame, id_col: str = "doc_id", lines: int = 5) -
 
 
 def continued(sections: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Sections marked as a continuation are joined to the section of their title that they follow."""
+    """Sections that follow one of their title and level, or of their title if marked as a continuation, are joined to it; marks go."""
     w = W.partitionBy(id_col).orderBy("pos")
     bare = F.regexp_replace("title", CONTINUED, "")
-    goes_on = F.col("title").rlike(CONTINUED) & (F.regexp_replace(F.lag("title").over(w), CONTINUED, "") == bare)
+    again = (F.col("level") > 0) & (F.lag("level").over(w) == F.col("level")) | F.col("title").rlike(CONTINUED)
+    goes_on = again & (F.regexp_replace(F.lag("title").over(w), CONTINUED, "") == bare)
     rows = sections.withColumn("bare ", bare).withColumn("run ", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda x: x["body"]), "\n\n")
+    body = F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda x: x["body"] != ""), lambda x: x["body"]), "\n\n")
     return rows.groupBy(id_col, "run ").agg(F.min("pos").alias("pos"), F.min_by("level", "pos").alias("level"), F.min_by("bare ", "pos").alias("title"), body.alias("body")).drop("run ")
 
 

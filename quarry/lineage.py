@@ -11,10 +11,12 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where it is unset (tests, local mode) a new temporary one."""
+    """The cluster's checkpoint folder; in local mode, where it may be unset, a new temporary one."""
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError(f"{CHECKPOINT_KEY} is unset: executors and driver need a folder that all of them see")
     made = "file://" + tempfile.mkdtemp(prefix="quarry-")
     spark.conf.set(CHECKPOINT_KEY, made)
     spark.sparkContext.setCheckpointDir(made)

@@ -167,6 +167,15 @@ def edge_evidence(conflicts: DataFrame) -> DataFrame:
     return out.select("pair_id", "s.side", "s.system", "topic", "type", "severity", "s.says").where("trim(coalesce(says, '')) <> ''")
 
 
+# Severities from the worst on.
+SEVERITIES = ("critical", "major", "minor")
+
+
 def paired_topics(evidence: DataFrame) -> DataFrame:
-    """(pair_id, topic, severity) of the topics for which both sides say something."""
-    return evidence.groupBy("pair_id", "topic").agg(F.count_distinct("side").alias("sides"), F.max("severity").alias("severity")).where("sides = 2").drop("sides")
+    """(pair_id, type, topic, severity, rank) of the conflicts about which both sides say something, each with its worst severity.
+
+    ``rank`` is the severity's place from the worst on (unknown ones last); order by it for a list.
+    """
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), F.lit(0)), F.lit(len(SEVERITIES) + 1)).cast("int")
+    found = evidence.withColumn("rank", rank).groupBy("pair_id", "type", "topic").agg(F.count_distinct("side").alias("sides"), F.min(F.struct("rank", "severity")).alias("s"))
+    return found.where("sides = 2").select("pair_id", "type", "topic", "s.severity", "s.rank")

@@ -41,12 +41,16 @@ def _grams(words: Column, n: Column) -> Column:
 def alike(left: DataFrame, right: DataFrame, left_col: str, right_col: str, least: float = 0.5, gram: int = 3) -> DataFrame:
     """(left, right, ratio): for each left name the right one that equals it, or contains it or is contained in it with the greatest ratio of lengths over ``least``.
 
-    Candidates share a character n-gram of the shorter name; names shorter than ``gram`` match by equality only.
+    Candidates share a character n-gram of the shorter name; of a name shorter than ``gram`` that is its whole, which names
+    near enough in length send as well.
     """
     norm = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[\s\"']+", " ")
     a = left.select(F.col(left_col).alias("left")).distinct().withColumn("x", norm(F.col("left")))
     b = right.select(F.col(right_col).alias("right")).distinct().withColumn("y", norm(F.col("right")))
-    grams = lambda c: F.explode(F.array_distinct(F.when(F.length(c) >= gram, F.transform(F.sequence(F.lit(1), F.length(c) - gram + 1), lambda i: F.substr(c, i, F.lit(gram)))).otherwise(F.array(c))))
+    cuts = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))
+    own = lambda c: F.when(F.length(c) >= gram, cuts(c, gram)).otherwise(F.array(c))
+    shorter = lambda c: [F.when((F.length(c) > n) & (F.length(c) * least < n), cuts(c, n)).otherwise(F.array().cast("array<string>")) for n in range(1, gram)]
+    grams = lambda c: F.explode(F.array_distinct(F.concat(own(c), *shorter(c))))
     met = a.withColumn("g", grams(F.col("x"))).join(b.withColumn("g", grams(F.col("y"))), "g").select("left", "x", "right", "y").distinct()
     ratio = F.least(F.length("x"), F.length("y")) / F.greatest(F.length("x"), F.length("y"))
     met = met.withColumn("ratio", F.when(F.col("x") == F.col("y"), 1.0).when(F.col("x").contains(F.col("y")) | F.col("y").contains(F.col("x")), ratio).otherwise(0.0))

@@ -34,9 +34,13 @@ def term_index(t):
     return t.documents.select(F.explode(X.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query(r"SELECT name, count(*) AS docs FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b|\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b|\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+\b')) AS name FROM documents) WHERE length(name) >= 4 GROUP BY 1")
+@query(r"""SELECT name, count(*) AS docs FROM (SELECT DISTINCT url, unnest(list_concat(list_concat(
+        regexp_extract_all(text, '\b[A-Z][a-zA-Z0-9]+(?:_[A-Z][a-zA-Z0-9]+)+\b'), regexp_extract_all(text, '\b[A-Z][a-z]{1,}(?:[A-Z][a-z0-9]+){1,}\b')), regexp_extract_all(text, '\b[A-Z]{3,}(?:_[A-Z0-9]{2,})+\b'))) AS name
+    FROM (SELECT p_partkey AS url, concat('Meta_', replace(p_type, ' ', '_Kind'), ' of Size', p_size, 'Class and ', upper(substr(p_type, 1, 3)), '_', p_size + 10, '_X1 or plain_name') AS text FROM part)) WHERE length(name) >= 4 GROUP BY 1""")
 def identifiers(t):
-    return t.documents.select(F.explode(X.identifiers(F.col("text"))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("docs"))
+    kind = F.replace("p_type", F.lit(" "), F.lit("_Kind"))
+    said = F.concat(F.lit("Meta_"), kind, F.lit(" of Size"), F.col("p_size").cast("string"), F.lit("Class and "), F.upper(F.substring("p_type", 1, 3)), F.lit("_"), (F.col("p_size") + 10).cast("string"), F.lit("_X1 or plain_name"))
+    return t.part.select(F.explode(X.identifiers(said)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query("SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS INTEGER) AS hits FROM documents WHERE contains(text, 'the')")
@@ -76,20 +80,26 @@ def document_chunks(t):
 
 @query()
 def document_cleanup(t):
-    sections = cleanup.section_frame(t.documents.withColumn("text", cleanup.without_marks(F.col("text"))))
+    sections = cleanup.section_frame(t.documents.withColumn("text", cleanup.without_marks(F.col("text"), continued=False)))
     for step in (cleanup.continued, cleanup.without_repeated_headings, cleanup.without_repeats, cleanup.without_cross_level_repeats, cleanup.without_twin_neighbours, cleanup.without_lone_headings):
         sections = step(sections)
     return cleanup.rendered(sections)
 
 
-@query(r"SELECT doc_id, count(*) AS table_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(trim(line), '^\|.*\|$') GROUP BY 1")
+def _sheets(t):
+    """Small Markdown documents with headings and a table row, made from the parts."""
+    size, kind = F.col("p_size").cast("string"), F.col("p_type")
+    return t.part.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("## Part "), F.col("p_partkey").cast("string"), F.lit("\n| "), kind, F.lit(" | "), size, F.lit(" |\nplain\n"), F.repeat(F.lit("#"), (F.col("p_size") % 5 + 1).cast("int")), F.lit(" "), kind).alias("text"))
+
+
+@query(r"SELECT doc_id, count(*) AS table_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM (SELECT p_partkey AS doc_id, concat('## Part ', p_partkey, chr(10), '| ', p_type, ' | ', p_size, ' |', chr(10), 'plain', chr(10), repeat('#', p_size % 5 + 1), ' ', p_type) AS text FROM part)) WHERE regexp_matches(trim(line), '^\|.*\|$') GROUP BY 1")
 def table_lines(t):
-    return markdown.lines(t.documents).where(F.trim("line").rlike(r"^\|.*\|$")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("table_lines"))
+    return markdown.lines(_sheets(t)).where(F.trim("line").rlike(r"^\|.*\|$")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("table_lines"))
 
 
-@query("SELECT doc_id, CAST(pos AS INTEGER) AS pos, length(regexp_extract(line, '^(#+) ', 1))::INTEGER AS level, trim(regexp_replace(line, '^#+ ', '')) AS title FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) WHERE regexp_matches(line, '^#{1,6} ')")
+@query("SELECT doc_id, CAST(pos AS INTEGER) AS pos, length(regexp_extract(line, '^(#+) ', 1))::INTEGER AS level, trim(regexp_replace(line, '^#+ ', '')) AS title FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM (SELECT p_partkey AS doc_id, concat('## Part ', p_partkey, chr(10), '| ', p_type, ' | ', p_size, ' |', chr(10), 'plain', chr(10), repeat('#', p_size % 5 + 1), ' ', p_type) AS text FROM part)) WHERE regexp_matches(line, '^#{1,6} ')")
 def document_headings(t):
-    return markdown.headings(t.documents).select("doc_id", "pos", "level", "title")
+    return markdown.headings(_sheets(t)).select("doc_id", "pos", "level", "title")
 
 
 @query("SELECT sha256(text) AS hash, min(doc_id) AS keeps, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")

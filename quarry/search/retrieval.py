@@ -53,12 +53,19 @@ def nearest_each(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "i
     return scored.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+# What parts a sheet's number from its name, by precedence.
+SHEET_MARKS = (":", "_", "—", "-")
+
+
 def structural(chunks: DataFrame, workbooks: list[str], query: str, forced: dict[str, str] | None = None) -> DataFrame:
     """All chunks of the named workbooks, scored by the query's terms in text, section and sheet."""
     terms = X.without_particles(X.words(F.lit(query)))
     rows = chunks.where(F.col("workbook").isin(*workbooks)).withColumn("terms ", terms)
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    own = F.trim(F.regexp_replace(low("sheet"), r"^[^:_—-]*[:_—-]", ""))
+    own = low("sheet")
+    for mark in reversed(SHEET_MARKS):  # the first of them that a name holds parts it, wherever the others stand
+        own = F.when(low("sheet").contains(mark), F.regexp_replace(low("sheet"), rf"(?s)\A[^{mark}]*{mark}", "")).otherwise(own)
+    own = F.trim(own)
     hits = lambda c, least=1: F.size(F.filter("terms ", lambda t: (F.length(t) >= least) & c.contains(t)))
     n_sheet = hits(own, 2)
     exact = (n_sheet > 0) & (n_sheet >= F.greatest(F.lit(1.0), F.size(F.split(own, r"\s+")) * 0.5))

@@ -68,6 +68,14 @@ def test_repeats(spark):
     assert [p for p, _ in left(cleanup.without_lone_headings(heads))] == [0, 2, 3, 4]
     goes_on = frame(spark, (2, "A", "x"), (2, "A (계속)", "y"), (2, "B (계속)", "z"))
     assert [(r.title, r.body) for r in cleanup.continued(goes_on).orderBy("pos").collect()] == [("A", "x\n\ny"), ("B", "z")]
+    same = frame(spark, (2, "A", "x"), (2, "A", "y"), (3, "A", "z"), (2, "A", "w"))
+    assert [(r.level, r.body) for r in cleanup.continued(same).orderBy("pos").collect()] == [(2, "x\n\ny"), (3, "z"), (2, "w")]
+
+
+def test_marks_of_headings_only(spark):
+    text = "## A (계속)\nsee below (continued)\n\nmore"
+    assert docs(spark, text).select(cleanup.without_marks(F.col("text")).alias("t")).first().t == "## A\nsee below (continued)\n\nmore"
+    assert docs(spark, text).select(cleanup.without_marks(F.col("text"), continued=False).alias("t")).first().t == text
 
 
 def test_marks_and_round_trip(spark):
