@@ -37,7 +37,7 @@ def test_language_keeps_every_lettered_document(steps):
 
 def test_lines(steps):
     before = [(r.doc_id, r.text) for r in steps[1].collect()]
-    expected = lines_by_brute_force(before, 20)
+    expected = lines_by_brute_force(before, 1)
     assert texts(steps[2]) == {i: t for i, (_, gone, t) in expected.items() if not gone or t.strip()}
     assert all(r.n_chars == len(r.text) for r in steps[2].collect())
 
