@@ -1,11 +1,35 @@
-"""Best rows under caps, quotas and budgets."""
+"""Best rows under caps, quotas and budgets.
+
+No key's rows are sorted by one task: running sums go by ranges of the order, and what is taken from the top of a key
+is cut to its limit before the shuffle. Orders must be total (end them with an id), or ties fall as they come.
+"""
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.lineage import cut
+
+
+def running_sum(rows: DataFrame, keys: list[str], cost: str, *order, out: str = "total ") -> DataFrame:
+    """``rows`` with the sum of ``cost`` over those of their key up to them, in order.
+
+    Rows are dealt to ranges of key and order, written to the shared folder (a range must stay what it was), and
+    summed within each; the ranges before it add one number for each key.
+    """
+    spread = cut(rows.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("range ", F.spark_partition_id()), "ranges")
+    parts = spread.groupBy(*keys, "range ").agg(F.sum(cost).alias("sum "))
+    before = F.sum("sum ").over(W.partitionBy(*keys).orderBy("range ").rowsBetween(W.unboundedPreceding, -1))
+    parts = parts.select(F.struct(*keys, "range ").alias("at "), F.coalesce(before, F.lit(0)).alias("before "))
+    same = reduce(lambda a, k: a & spread[k].eqNullSafe(F.col(f"`at `.`{k}`")), keys, spread["range "] == F.col("`at `.`range `"))
+    within = F.sum(cost).over(W.partitionBy(*keys, "range ").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return spread.join(parts, same).withColumn(out, within + F.col("before ")).drop("range ", "at ", "before ")
+
 
 def best_of(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
@@ -17,10 +41,22 @@ def top_per(rows: DataFrame, keys: list[str], n: int, *order) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
 
 
+def _first_then_rest(rows: DataFrame, group: str, quota: Column, most: int, limit: int, *order) -> DataFrame:
+    """``limit`` rows: those within their group's quota (``most`` at most), in order; then the rest, in order.
+
+    If the former are fewer than ``limit``, twice as many rows from the top of all hold enough of the rest, and a row's
+    place in its group is the same among them.
+    """
+    place = F.row_number().over(W.partitionBy(group).orderBy(*order))
+    first = rows.withColumn("place ", place).where(F.col("place ") <= most).where(F.col("place ") <= quota)
+    rest = rows.orderBy(*order).limit(2 * limit).withColumn("place ", place).where(F.col("place ") > quota)
+    both = first.withColumn("over ", F.lit(False)).unionByName(rest.withColumn("over ", F.lit(True)))
+    return both.orderBy("over ", *order).limit(limit).drop("over ", "place ")
+
+
 def capped_first(rows: DataFrame, group: str, n: int, limit: int, *order) -> DataFrame:
     """``limit`` rows: those within the first ``n`` of their group, in order; then the rest, in order."""
-    place = F.row_number().over(W.partitionBy(group).orderBy(*order))
-    return rows.withColumn("over ", (place > n)).orderBy("over ", *order).limit(limit).drop("over ")
+    return _first_then_rest(rows, group, F.lit(n), n, limit, *order)
 
 
 def with_quota(rows: DataFrame, group: str, limit: int, *order, quota: int | None = None) -> DataFrame:
@@ -30,23 +66,30 @@ def with_quota(rows: DataFrame, group: str, limit: int, *order, quota: int | Non
 
 
 def within_budget(rows: DataFrame, keys: list[str], cost: str, budget: int, *order) -> DataFrame:
-    """Rows of each key in order, up to the first that would pass the budget."""
-    total = F.sum(cost).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    out = rows.withColumn("total ", total)
-    stop = F.min(F.when(F.col("total ") > budget, F.col("total "))).over(W.partitionBy(*keys))
-    return out.withColumn("stop ", stop).where(F.col("stop ").isNull() | (F.col("total ") < F.col("stop "))).drop("total ", "stop ")
+    """Rows of each key in order, up to the first that would pass the budget. Costs are 0 or more; null ones cost nothing."""
+    counted = rows.withColumn("cost ", F.coalesce(F.col(cost), F.lit(0)))
+    return running_sum(counted, keys, "cost ", *order).where(F.col("total ") <= budget).drop("total ", "cost ")
 
 
 def skipping_budget(rows: DataFrame, keys: list[str], id_col: str, cost: str, budget: int, order: str) -> DataFrame:
     """(keys, id) of the rows of each key taken in order of ``order`` (descending, then id), passing over those that don't fit.
 
-    The keys' candidate lists must be small (a page of search results): they are folded as arrays.
+    Costs are 0 or more; rows with a null cost or more than the budget are passed over. Each round takes all rows up to the first
+    that doesn't fit what room is left, then lets go all that don't fit any more; there are few, as the
+    room shrinks to less than any cost left.
     """
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col(order)).alias("o"), F.col(id_col).alias("id"), F.col(cost).cast("long").alias("c")))).alias("items"))
-    kind = dict(rows.dtypes)[id_col]
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("ids"))
-    step = lambda acc, x: F.when(acc["used"] + x["c"] <= budget, F.struct((acc["used"] + x["c"]).alias("used"), F.concat(acc["ids"], F.array(x["id"])).alias("ids"))).otherwise(acc)
-    return listed.select(*keys, F.explode(F.aggregate("items", start, step, lambda acc: acc["ids"])).alias(id_col))
+    by = (F.desc(order), F.asc(id_col))
+    left = rows.select(*keys, id_col, order, F.col(cost).alias("cost "), F.lit(budget).alias("room ")).where(F.col("cost ") <= budget)
+    taken = []
+    for n in itertools.count():
+        summed = cut(running_sum(left, keys, "cost ", *by), "budget")
+        fit = F.col("total ") <= F.col("room ")
+        taken.append(summed.where(fit).select(*keys, id_col))
+        if summed.where(~fit).isEmpty():
+            return reduce(DataFrame.unionByName, taken)
+        used = summed.groupBy(*keys).agg(F.coalesce(F.max(F.when(fit, F.col("total "))), F.lit(0)).alias("used ")).select(F.struct(*keys, F.lit(n)).alias("key "), "used ")
+        same = reduce(lambda a, k: a & summed[k].eqNullSafe(F.col(f"`key `.`{k}`")), keys, F.lit(True))
+        left = summed.where(~fit).join(used, same).withColumn("room ", F.col("room ") - F.col("used ")).where(F.col("cost ") <= F.col("room ")).drop("total ", "used ", "key ")
 
 
 def scaled_to_ten(rows: DataFrame, value: str, out: str) -> DataFrame:
@@ -58,12 +101,16 @@ def scaled_to_ten(rows: DataFrame, value: str, out: str) -> DataFrame:
 def picked_percentiles(rows: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """Of each key the value at place floor(n * p) of its sorted values (no interpolation), and the mean rounded down.
 
-    Places are found by rank, so no key's values are gathered in an array.
+    Rows are counted by value before anything is put in order; places are found by running counts.
     """
-    w = W.partitionBy(*keys)
-    ranked = rows.where(F.col(value).isNotNull()).withColumns({"place ": F.row_number().over(w.orderBy(value)) - 1, "n ": F.count(F.lit(1)).over(w)})
-    pick = lambda p: F.max(F.when(F.col("place ") == F.least(F.floor(F.col("n ") * p), F.col("n ") - 1), F.col(value)))
-    return ranked.groupBy(*keys).agg(*[pick(p).alias(name) for name, p in points.items()], F.floor(F.sum(value) / F.count(F.lit(1))).alias("mean_down"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("count "))
+    sums = counts.groupBy(*keys).agg(F.sum("count ").alias("n "), F.floor(F.sum(F.col(value) * F.col("count ")) / F.sum("count ")).alias("mean_down"))
+    sums = sums.select(F.struct(*keys, F.lit(0)).alias("key "), "n ", "mean_down")
+    placed = running_sum(counts, keys, "count ", F.asc(value))
+    same = reduce(lambda a, k: a & placed[k].eqNullSafe(F.col(f"`key `.`{k}`")), keys, F.lit(True))
+    place = lambda p: F.least(F.floor(F.col("n ") * p), F.col("n ") - 1)
+    pick = lambda p: F.min(F.when(F.col("total ") > place(p), F.col(value)))
+    return placed.join(F.broadcast(sums) if not keys else sums, same).groupBy(*keys).agg(*[pick(p).alias(name) for name, p in points.items()], F.first("mean_down").alias("mean_down"))
 
 
 def weighted(column: Column, weights: dict[str, float], other: float) -> Column:
@@ -86,6 +133,5 @@ def stratified(rows: DataFrame, stratum: str, n: int, id_col: str, seed: int = 4
 
 def balanced(rows: DataFrame, category: str, shares: dict[str, float], total: int, *order) -> DataFrame:
     """About ``total`` rows: of each category its share first, then others in order."""
-    place = F.row_number().over(W.partitionBy(category).orderBy(*order))
-    quota = weighted(F.col(category), {c: float(round(total * s)) for c, s in shares.items()}, 0.0)
-    return rows.withColumn("late ", place > quota).orderBy("late ", *order).limit(total).drop("late ")
+    quotas = {c: float(round(total * s)) for c, s in shares.items()}
+    return _first_then_rest(rows, category, weighted(F.col(category), quotas, 0.0), int(max(quotas.values(), default=0)), total, *order)

@@ -222,10 +222,12 @@ def token_budget(t):
     return ranking.within_budget(t.documents, ["source"], "n_chars", 40000, F.desc("n_chars"), F.asc("doc_id")).select("source", "doc_id")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT source, doc_id, n_chars AS c, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS p FROM documents WHERE n_chars <= 30000),
+w AS (SELECT DISTINCT source, 0::BIGINT AS p, 0::BIGINT AS used, NULL::BIGINT AS doc_id, false AS took FROM r
+UNION ALL SELECT w.source, r.p, CASE WHEN used + c <= 30000 THEN used + c ELSE used END, r.doc_id, used + c <= 30000 FROM w JOIN r ON r.source IS NOT DISTINCT FROM w.source AND r.p = w.p + 1)
+SELECT source, doc_id FROM w WHERE took""")
 def skipping_budget(t):
-    best = ranking.top_per(t.documents.withColumn("score", F.col("n_chars").cast("double")), ["source"], 50, F.desc("score"), "doc_id")
-    return ranking.skipping_budget(best, ["source"], "doc_id", "n_chars", 30000, "score")
+    return ranking.skipping_budget(t.documents, ["source"], "doc_id", "n_chars", 30000, "n_chars")
 
 
 @query("WITH x AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) SELECT s_nationkey, round_even(n * 10.0 / (SELECT max(n) FROM x), 2) AS score FROM x")

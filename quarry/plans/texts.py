@@ -172,8 +172,7 @@ def fused_scores(t):
 @query()
 def assembled_context(t):
     ranked = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("workbook"), (F.col("n_chars") / 1000.0).alias("score"), X.estimated_tokens(F.col("text")).alias("tokens"))
-    page = ranking.top_per(ranked, ["workbook"], 50, F.desc("score"), "id").drop("rank")
-    return retrieval.assembled(page, ["src0", "src1", "src2"], 30, 60000)
+    return retrieval.assembled(ranked, ["src0", "src1", "src2"], 30, 60000)
 
 
 @query(r"SELECT token, kind, count(*) AS n FROM (SELECT DISTINCT o_orderkey, 'priority' AS kind, unnest(regexp_extract_all(o_orderpriority, '[A-Za-z_][A-Za-z0-9_]{3,}')) AS token FROM orders) GROUP BY 1, 2")

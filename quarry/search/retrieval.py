@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.operators.ranking import skipping_budget, within_budget
+from quarry.operators.ranking import running_sum, skipping_budget, within_budget
 
 # Parts of the structural and of the phrase score, and of their fusion.
 BASE, BY_TERMS, BY_SECTION, BY_SHEET, SHEET_MOST, BY_EXACT, BY_FORCE, MOST = 0.6, 0.3, 0.2, 0.2, 0.3, 0.3, 0.8, 1.5
@@ -118,7 +118,7 @@ def fused(base: DataFrame, vector: DataFrame, filtered: DataFrame, phrase: DataF
 def assembled(ranked: DataFrame, systems: list[str], top_k: int, budget: int) -> DataFrame:
     """Chunks within a token budget. For two systems or more, each first gets its best few (passing over what doesn't fit), then the rest by score until the first that doesn't fit.
 
-    ``ranked`` (id, workbook, score, tokens) is a page of candidates.
+    ``ranked`` (id, workbook, score, tokens) may be all candidates: sums go by ranges of the order.
     """
     order = (F.desc("score"), F.asc("id"))
     if len(systems) < 2:
@@ -130,12 +130,8 @@ def assembled(ranked: DataFrame, systems: list[str], top_k: int, budget: int) ->
     turn = reduce(lambda acc, s: F.when(F.col("workbook") == s[1], F.lit(float(-s[0]))).otherwise(acc), enumerate(systems), F.lit(0.0))
     first = skipping_budget(own.withColumn("turn", turn * 1e6 + F.col("score")), [], "id", "tokens", budget, "turn")
     kept = ranked.join(first, "id", "left_semi")
-    used = kept.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("used"), F.count(F.lit(1)).alias("n"))
-    rest = ranked.join(first, "id", "left_anti").crossJoin(F.broadcast(used))
-    w = W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    rest = rest.withColumns({"total": F.sum("tokens").over(w) + F.col("used"), "place": F.row_number().over(W.orderBy(*order)) + F.col("n")})
-    stop = F.min(F.when(F.col("total") > budget, F.col("place"))).over(W.partitionBy())
-    rest = rest.withColumn("stop", stop).where((F.col("place") <= top_k) & (F.col("stop").isNull() | (F.col("place") < F.col("stop"))))
+    used, n = kept.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count(F.lit(1))).first()
+    rest = within_budget(ranked.join(first, "id", "left_anti"), [], "tokens", budget - used, *order).orderBy(*order).limit(max(0, top_k - n))
     return kept.unionByName(rest.select(*ranked.columns)).orderBy(*order)
 
 
@@ -143,12 +139,10 @@ def whole_sheets(chunks: DataFrame, hits: DataFrame, budget: int = 80_000, least
     """All chunks of the hits' sheets, best sheet first, within a token budget; of the first sheet that doesn't fit as many chunks as do, if ``least_left`` tokens are left."""
     sheets = hits.groupBy("workbook", "sheet").agg(F.max("score").alias("sheet_score"))
     rows = chunks.join(sheets, ["workbook", "sheet"])
-    sizes = rows.groupBy("workbook", "sheet", "sheet_score").agg(F.sum("tokens").alias("size"))
-    order = [F.desc("sheet_score"), F.asc("workbook"), F.asc("sheet")]
-    before = F.coalesce(F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("before", before).withColumn("left", budget - F.col("before")).where((F.col("size") <= F.col("left")) | (F.col("left") >= least_left)).where("left > 0")
+    sizes = running_sum(rows.groupBy("workbook", "sheet", "sheet_score").agg(F.sum("tokens").alias("size")), [], "size", F.desc("sheet_score"), F.asc("workbook"), F.asc("sheet"), out="upto")
+    sizes = sizes.withColumn("left", budget - F.col("upto") + F.col("size")).where((F.col("size") <= F.col("left")) | (F.col("left") >= least_left)).where("left > 0")
     rows = rows.join(sizes.select("workbook", "sheet", "left"), ["workbook", "sheet"])
-    return within_budget(rows.withColumn("over", F.col("tokens")), ["workbook", "sheet"], "tokens", budget, "id").withColumn("upto", F.sum("tokens").over(W.partitionBy("workbook", "sheet").orderBy("id").rowsBetween(W.unboundedPreceding, 0))).where("upto <= left").drop("over", "upto", "left")
+    return running_sum(rows, ["workbook", "sheet"], "tokens", F.asc("id"), out="upto").where("upto <= left").drop("upto", "left")
 
 
 def alias_hits(queries: DataFrame, aliases: DataFrame, most: int = 6) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,40 @@ def test_budgets(spark):
     assert [r.id for r in ranking.within_budget(rows, [], "cost", 1000, *order).collect()] == [0, 1, 2, 3, 4]
 
 
+def test_budgets_of_hot_and_null_keys(spark):
+    """Against folds: a hot key over many ranges, a null key, free and unpayable rows, ties."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["hot"] * 6 + ["b", None]), rng.randrange(40), rng.choice([0, 1, 5, 30, 900])) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id int, k string, score int, cost int").repartition(5)
+    within, skipping = set(), set()
+    for key in ("hot", "b", None):
+        total = used = 0
+        for i, _, _, cost in sorted((r for r in rows if r[1] == key), key=lambda r: (-r[2], r[0])):
+            total += cost
+            if total <= 700:
+                within.add((key, i))
+            if used + cost <= 700:
+                used += cost
+                skipping.add((key, i))
+    order = (F.desc("score"), F.asc("id"))
+    assert {(r.k, r.id) for r in ranking.within_budget(df, ["k"], "cost", 700, *order).collect()} == within
+    assert sorted(map(str, map(tuple, ranking.skipping_budget(df, ["k"], "id", "cost", 700, "score").collect()))) == sorted(map(str, skipping))
+    assert ranking.skipping_budget(df.where("false"), ["k"], "id", "cost", 700, "score").count() == 0
+    values = sorted(r[2] for r in rows)
+    one = ranking.picked_percentiles(df, [], "score", {"p50": 0.5, "p99": 0.99}).first()
+    assert (one.p50, one.p99) == (values[600], values[1188])
+    place = {}
+    listed = sorted(rows, key=lambda r: (-r[2], r[0]))
+    for i, key, *_ in listed:
+        place[i] = sum(1 for j, k, *_ in listed if k == key and j in place)
+    for limit in (4, 30, 2000):
+        want = sorted(listed, key=lambda r: (place[r[0]] >= 6, -r[2], r[0]))[:limit]
+        assert sorted(r.id for r in ranking.capped_first(df, "k", 6, limit, *order).collect()) == sorted(r[0] for r in want)
+        quota = {"b": round(limit * 0.3)}
+        want = sorted(listed, key=lambda r: (place[r[0]] >= quota.get(r[1], 0), -r[2], r[0]))[:limit]
+        assert sorted(r.id for r in ranking.balanced(df, "k", {"b": 0.3}, limit, *order).collect()) == sorted(r[0] for r in want)
+
+
 def test_percentiles_and_quotas(spark):
     rows = spark.createDataFrame([("a", x) for x in (1, 2, 3, 4)] + [("b", 7)], "k string, v int")
     got = {r.k: (r.p50, r.p90, r.mean_down) for r in ranking.picked_percentiles(rows, ["k"], "v", {"p50": 0.5, "p90": 0.9}).collect()}
