@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -136,24 +137,34 @@ def paths_to_root(nodes: DataFrame, id_col: str, parent: str, name: str, most: i
     return done.select("id", "path")
 
 
-def greedy_clusters(edges: DataFrame, n: int, size: int = 3, most_nodes: int = 100_000) -> list[list]:
-    """Up to ``n`` clusters of 2 to ``size`` unused neighbours, from the node of greatest degree down.
+def greedy_clusters(edges: DataFrame, n: int, size: int = 3) -> DataFrame:
+    """(rank, nodes) of up to ``n`` clusters of 2 to ``size`` unused neighbours, from the node of greatest degree (then least name) down.
 
-    The choice hangs on all earlier ones, so it is made on the driver; graphs of more than ``most_nodes`` edges are refused.
+    A node is settled by those before it within two steps alone. So in each round every node that comes first within two
+    steps of what is still free takes its first neighbours; used nodes and their edges go, and a node left without free
+    neighbours is in no cluster. ``edges`` are symmetric; loops and null ends are left out. Each round is a table.
     """
-    rows = edges.select("src", "dst").limit(most_nodes + 1).collect()
-    if len(rows) > most_nodes:
-        raise ValueError(f"more than {most_nodes} edges")
-    near: dict = {}
-    for r in rows:
-        near.setdefault(r["src"], set()).add(r["dst"])
-    used, out = set(), []
-    for node in sorted(near, key=lambda x: (-len(near[x]), x)):
-        free = sorted((x for x in near[node] if x not in used and x != node), key=lambda x: (-len(near.get(x, ())), x))
-        if node not in used and free and len(out) < n:
-            out.append([node, *free[: size - 1]])
-            used.update(out[-1])
-    return out
+    pairs = edges.select("src", "dst").where("src <> dst").distinct()
+    order = pairs.groupBy("src").agg((-F.count(F.lit(1))).alias("turn")).select(F.col("src").alias("node"), F.struct("turn", F.col("src").alias("name")).alias("at"))
+    left = cut(pairs.join(order.select(F.col("node").alias("src"), F.col("at").alias("a")), "src").join(order.select(F.col("node").alias("dst"), F.col("at").alias("b")), "dst").select("a", "b"), "free")
+    found = []
+    while not left.isEmpty():
+        near = left.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("near"))
+        two = left.join(near.select(F.col("a").alias("b"), "near"), "b").groupBy("a").agg(F.min("near").alias("least"))
+        heads = two.where("a <= least").select(F.col("a").alias("head"))
+        taken = left.join(heads, F.col("a") == F.col("head")).withColumn("place", F.row_number().over(W.partitionBy("a").orderBy("b"))).where(F.col("place") < size)
+        taken = cut(taken.select("head", "place", F.col("b").alias("node")), "clusters")
+        found.append(taken)
+        used = taken.select("node").unionByName(taken.select(F.col("head").alias("node"))).distinct()
+        for end in ("a", "b"):
+            left = left.join(used, left[end] == used["node"], "left_anti")
+        left = cut(left, "free")
+    if not found:
+        return left.select(F.lit(0).alias("rank"), F.array(F.col("a.name")).alias("nodes"))
+    members = reduce(DataFrame.unionByName, found).groupBy("head").agg(F.array_sort(F.collect_list(F.struct("place", F.col("node.name").alias("name")))).alias("rest"))
+    first = members.orderBy("head").limit(n)
+    rank = F.row_number().over(W.orderBy("head"))
+    return first.select(rank.alias("rank"), F.concat(F.array("head.name"), F.transform("rest", lambda r: r["name"])).alias("nodes"))
 
 
 def edge_evidence(conflicts: DataFrame) -> DataFrame:

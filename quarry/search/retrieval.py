@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,21 +39,45 @@ def nearest(chunks: DataFrame, query: list[float], k: int, id_col: str = "id", w
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
-def nearest_each(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id", query_id: str = "query_id", most_queries: int = 1000) -> DataFrame:
-    """(query_id, id, score, rank) for a few stated queries, each against all chunks; more than ``most_queries`` are refused.
+#: Components of chunks, and of queries, that one task multiplies.
+CHUNK_TILE, QUERY_SET = 1 << 21, 1 << 18
 
-    Queries are broadcast; each task ranks what it has before the shuffle through a bounded partial top list.
+
+def nearest_each(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id", query_id: str = "query_id", tile: int = CHUNK_TILE, query_set: int = QUERY_SET) -> DataFrame:
+    """(query_id, id, score, rank): the k chunks of greatest cosine of each stated query, against all chunks; ties by id.
+
+    Tiles of chunks meet sets of queries, one matrix product each, and hand on k rows for each query. Vectors that are null, zero,
+    or hold a null have no score, nor have vectors of unlike length; repeated query rows are one.
     """
-    few = queries.select(query_id, F.col("embedding").alias("asked")).limit(most_queries + 1)
-    n = few.count()
-    if n > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
-    dot = F.aggregate(F.zip_with("embedding", "asked", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    both = chunks.crossJoin(F.broadcast(few)).where(F.size("embedding") == F.size("asked"))
-    scored = both.select(query_id, id_col, F.bround(dot / (norm("embedding") * norm("asked")), 9).alias("score")).where("score is not null and not isnan(score)")
-    place = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), id_col))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k)
+    whole = lambda df, key, name: df.select(F.col(key).alias(name), F.transform("embedding", lambda x: x.cast("double")).alias("v")).where(F.forall("v", lambda x: x.isNotNull())).withColumn("dim", F.size("v"))
+    stored, asked = whole(chunks, id_col, "id"), whole(queries, query_id, "query").distinct()
+    n_tiles, n_sets = (1 + (df.agg(F.sum(F.col("dim").cast("long"))).first()[0] or 0) // most for df, most in ((stored, tile), (asked, query_set)))
+    dealt = lambda df, n, own, name, n_other, other: df.withColumns({own: F.pmod(F.xxhash64(name, "v"), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))})
+    types = {name: df.schema[name].dataType.simpleString() for df, name in ((stored, "id"), (asked, "query"))}
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("query", right.schema.field("query").type), ("id", left.schema.field("id").type), ("score", pa.float64())])
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        left = left.take(pc.sort_indices(left, sort_keys=[("id", "ascending")], null_placement="at_start"))
+        x, y = (np.array(t["v"].combine_chunks().flatten(), np.float64).reshape(len(t), -1) for t in (left, right))
+        tables = []
+        with np.errstate(all="ignore"):
+            norm = np.linalg.norm(x, axis=1)
+            for q in range(len(y)):
+                score = np.round(x @ y[q] / (norm * np.linalg.norm(y[q])), 9)
+                known = np.flatnonzero(~np.isnan(score))
+                if len(known) > k:
+                    known = known[score[known] >= np.partition(score[known], len(known) - k)[len(known) - k]]
+                known = known[np.argsort(-score[known], kind="stable")][:k]
+                tables.append(pa.table([right["query"].take(pa.array([q] * len(known), pa.int64())), left["id"].take(pa.array(known, pa.int64())), score[known]], schema=schema))
+        return pa.concat_tables(tables)
+
+    keys = ["tile", "set", "dim"]
+    a, b = dealt(stored, n_tiles, "tile", "id", n_sets, "set").groupBy(*keys), dealt(asked, n_sets, "set", "query", n_tiles, "tile").groupBy(*keys)
+    found = a.cogroup(b).applyInArrow(best, f"query {types['query']}, id {types['id']}, score double")
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select(F.col("query").alias(query_id), F.col("id").alias(id_col), "score", "rank")
 
 
 # What parts a sheet's number from its name, by precedence.

@@ -1,4 +1,5 @@
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,19 @@ def test_evaluation(spark):
     results = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "z", 1)], "case_id int, target string, rank int")
     expected = spark.createDataFrame([(1, "b"), (2, "y"), (3, "q")], "case_id int, target string")
     assert {(r.case_id, r.hit, r.precision) for r in evaluation.hits(results, expected, 3).collect()} == {(1, 1, 0.5), (2, 0, 0.0), (3, 0, 0.0)}
+
+
+def test_nearest_each_in_tiles(spark):
+    """Against all pairs: many queries, ties, unlike lengths, nulls and zeros, names as ids."""
+    rng = np.random.default_rng(4)
+    rows = [(f"c{i:03}", (rng.normal(size=4) * 4).round().tolist()) for i in range(300)] + [("z", [0.0] * 4), ("n", None), ("h", [None, 1.0, 1.0, 1.0]), ("s", [1.0, 2.0])] + [(f"t{i}", [1.0, 0.0, 0.0, 0.0]) for i in range(9)]
+    asked = [(i, (rng.normal(size=4) * 4).round().tolist()) for i in range(40)] + [(90, [2.0, 0.0, 0.0, 0.0])] * 2 + [(91, None), (92, [0.0] * 4), (93, [1.0, 1.0])]
+    want = set()
+    for q, y in asked:
+        known = [(i, x) for i, x in rows if x and y and len(x) == len(y) and None not in x and any(x) and any(y)]
+        scored = sorted((-round(float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)), 9), i) for i, x in known)
+        want |= {(q, i, p + 1) for p, (_, i) in enumerate(scored[:5])}
+    chunks, queries = spark.createDataFrame(rows, "id string, embedding array<float>"), spark.createDataFrame(asked, "query_id int, embedding array<float>")
+    for tile, sets in ((1 << 21, 1 << 18), (200, 30)):
+        got = {(r.query_id, r.id, r["rank"]) for r in retrieval.nearest_each(chunks, queries, 5, tile=tile, query_set=sets).collect()}
+        assert got == want

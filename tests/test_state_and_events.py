@@ -133,12 +133,33 @@ def test_percentiles_and_quotas(spark):
     assert {r.s for r in ranking.scaled_to_ten(spark.createDataFrame([(0.0,), (-1.0,)], "v double"), "v", "s").collect()} == {0.0}
 
 
+@pytest.mark.parametrize("size", [2, 3])
+def test_clusters_as_if_one_by_one(spark, size):
+    rng = random.Random(size)
+    near = {}
+    for a, b in [(rng.randrange(60), rng.randrange(60)) for _ in range(90)] + [(0, x) for x in range(30, 60)]:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    turn = lambda x: (-len(near[x]), x)
+    used, want = set(), []
+    for node in sorted(near, key=turn):
+        free = sorted(near[node] - used, key=turn)
+        if node not in used and free:
+            want.append([node, *free[: size - 1]])
+            used |= set(want[-1])
+    edges = spark.createDataFrame([(a, b) for a in near for b in near[a]], "src long, dst long")
+    assert [r.nodes for r in graph.greedy_clusters(edges, 1000, size).orderBy("rank").collect()] == want
+    assert [r.nodes for r in graph.greedy_clusters(edges, 4, size).orderBy("rank").collect()] == want[:4]
+    assert graph.greedy_clusters(edges.where("false"), 4, size).count() == 0
+
+
 def test_graph(spark):
     edges = graph.symmetric(spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("a", "a")], "src string, dst string"))
     assert edges.count() == 6 and edges.exceptAll(edges.select("dst", "src")).count() == 0
     got = {r.node: r.distance for r in graph.within(edges, spark.createDataFrame([("a",)], "node string"), 2).collect()}
     assert got == {"a": 0, "b": 1, "c": 2}
-    assert graph.greedy_clusters(edges, 5) == [["b", "c", "a"]]
+    assert [tuple(r) for r in graph.greedy_clusters(edges, 5).collect()] == [(1, ["b", "c", "a"])]
     refs = spark.createDataFrame([("Skill Tree",), ("pk_quest",), ("none",)], "ref string")
     nodes = spark.createDataFrame([("skilltree",), ("PK_Quest",), ("Design/Quest",)], "node string")
     assert {(r.ref, r.node) for r in graph.resolve_names(refs, nodes).collect()} == {("Skill Tree", "skilltree"), ("pk_quest", "PK_Quest")}
