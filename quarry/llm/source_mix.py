@@ -19,7 +19,8 @@ from .shared import cut
 
 #: A token, for counting: a run of anything but white space.
 WORD = r"[^\x20\x09-\x0D]+"
-STEPS = 60
+#: The exponent's range is cut in ``PARTS`` so many times: to 2 ** -60.
+ROUNDS, PARTS = 15, 16
 
 
 @dataclass(frozen=True)
@@ -43,8 +44,38 @@ def _weights(tokens: dict, exponent: float) -> dict:
     return {s: r / total for s, r in raw.items()}
 
 
-def _budget(tokens: dict, weights: dict) -> float:
-    return max(t / weights[s] for s, t in tokens.items())
+def _exponent(n: int, top: int, low: int, sums, target_entropy: float | None, max_repeats: float | None, budget: float | None) -> float:
+    """The exponent for ``n`` sources of ``low`` to ``top`` tokens.
+
+    ``sums`` gives for each of a list of exponents the sum of (tokens / top) ** exponent over all sources, and
+    that of the same times log(tokens / top): all that entropy and repetition hang on. The smallest source is repeated most.
+    """
+
+    def entropies(points: list[float]) -> list[float]:
+        return [(math.log(z) - a * logs / z) / math.log(n) if n > 1 else 1.0 for a, (z, logs) in zip(points, sums(points), strict=True)]
+
+    def repeats(points: list[float]) -> list[float]:
+        if budget is None:  # the budget goes through the largest source once
+            return [(low / top) ** (a - 1) for a in points]
+        return [(low / top) ** a / z * budget / low for a, (z, _) in zip(points, sums(points), strict=True)]
+
+    def least(held) -> float:
+        """The least exponent from which on ``held`` is true; 1 if it is nowhere below."""
+        if held([0.0])[0]:
+            return 0.0
+        lower, upper = 0.0, 1.0
+        for _ in range(ROUNDS):
+            points = [lower + (upper - lower) * i / PARTS for i in range(1, PARTS)]
+            at = [*held(points), True].index(True)
+            lower, upper = [lower, *points][at], [*points, upper][at]
+        return upper
+
+    found = [0.0]
+    if target_entropy is not None:
+        found.append(least(lambda points: [e <= target_entropy for e in entropies(points)]))
+    if max_repeats is not None:
+        found.append(least(lambda points: [r <= max_repeats for r in repeats(points)]))
+    return max(found)
 
 
 def solve(tokens: dict, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None) -> Mix:
@@ -57,32 +88,36 @@ def solve(tokens: dict, target_entropy: float | None = None, max_repeats: float
     tokens = {s: t for s, t in tokens.items() if t > 0}
     if not tokens:
         return Mix(1.0, {}, 0.0)
+    top = max(tokens.values())
 
-    def entropy(exponent: float) -> float:
-        return Mix(exponent, _weights(tokens, exponent), 0).entropy / math.log(len(tokens)) if len(tokens) > 1 else 1.0
-
-    def repeats(exponent: float) -> float:
-        weights = _weights(tokens, exponent)
-        whole = budget or _budget(tokens, weights)
-        return max(weights[s] * whole / t for s, t in tokens.items())
-
-    def bisect(enough) -> float:
-        """The least exponent from which on ``enough`` holds; 1 if it holds nowhere below."""
-        low, high = 0.0, 1.0
-        if enough(low):
-            return low
-        for _ in range(STEPS):
-            middle = (low + high) / 2
-            low, high = (low, middle) if enough(middle) else (middle, high)
-        return high
-
-    found = [0.0] if target_entropy is None and max_repeats is None else []
-    if target_entropy is not None:
-        found.append(bisect(lambda a: entropy(a) <= target_entropy))
-    if max_repeats is not None:
-        found.append(bisect(lambda a: repeats(a) <= max_repeats))
-    weights = _weights(tokens, max(found))
-    return Mix(max(found), weights, float(budget or _budget(tokens, weights)))
+    def sums(points: list[float]) -> list[tuple[float, float]]:
+        return [(math.fsum((t / top) ** a for t in tokens.values()), math.fsum((t / top) ** a * math.log(t / top) for t in tokens.values())) for a in points]
+
+    exponent = _exponent(len(tokens), top, min(tokens.values()), sums, target_entropy, max_repeats, budget)
+    weights = _weights(tokens, exponent)
+    return Mix(exponent, weights, float(budget or max(t / weights[s] for s, t in tokens.items())))
+
+
+def _plan(totals: DataFrame, target_entropy: float | None, max_repeats: float | None, budget: float | None) -> DataFrame:
+    """(source, passes, rest) of (source, tokens): whole passes, and the tokens of one more. A source without tokens is passed once.
+
+    The driver sees counts and sums over sources only, by the rules of ``solve``.
+    """
+    n, top, low = totals.where("tokens > 0").agg(F.count(F.lit(1)), F.max("tokens"), F.min("tokens")).first()
+    if not n:
+        return totals.select("source", F.lit(1).alias("passes"), F.lit(0).cast("long").alias("rest"))
+    share = F.col("tokens") / F.lit(float(top))
+
+    def sums(points: list[float]) -> list[tuple[float, float]]:
+        raw = [F.pow(share, F.lit(a)) for a in points]
+        row = totals.where("tokens > 0").agg(*[F.sum(r) for r in raw], *[F.sum(r * F.log(share)) for r in raw]).first()
+        return list(zip(row[: len(points)], row[len(points) :], strict=True))
+
+    exponent = _exponent(n, top, low, sums, target_entropy, max_repeats, budget)
+    exact = F.pow(share, F.lit(exponent - 1.0)) if budget is None else F.pow(share, F.lit(exponent)) * (budget / sums([exponent])[0][0]) / F.col("tokens")
+    placed = totals.withColumn("exact", F.when(F.col("tokens") > 0, exact).otherwise(1.0)).withColumn("passes", F.floor(F.col("exact") + 1e-9).cast("int"))
+    rest = F.greatest(F.lit(0), F.round((F.col("exact") - F.col("passes")) * F.col("tokens"))).cast("long")
+    return placed.select("source", "passes", rest.alias("rest"))
 
 
 def _number(text: Column, digits: int = 8) -> Column:
@@ -96,7 +131,7 @@ def count_tokens(text: Column) -> Column:
 
 def temperature_mix(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", target_entropy: float | None = None, max_repeats: float | None = None,
-    budget: float | None = None, blocks: int = 1024, seed: int = 7, max_sources: int = 100_000, prefix: str = "mix_",
+    budget: float | None = None, blocks: int = 1024, seed: int = 7, prefix: str = "mix_",
 ) -> DataFrame:
     """A row for each time that a document stands in the mix, all columns kept, with ``mix_tokens``, ``mix_pass``, ``mix_block`` and ``mix_key``.
 
@@ -108,7 +143,7 @@ def temperature_mix(
     does; a source without any token is passed once. Documents go to blocks by id and length, so rows of one id and length go
     together; repeated rows count each. Empty input: no rows. Columns named like an added one are replaced.
 
-    The driver sees one number for each source; more than ``max_sources`` are refused.
+    Sources may be many, such as hosts: their budgets are a table, which goes to all tasks only if it is small.
     """
     docs = docs.drop(*[f"{prefix}{c}" for c in ("tokens", "pass", "block", "key")])
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
@@ -117,26 +152,17 @@ def temperature_mix(
     rows = rows.withColumns({"block": (F.col("slot") % blocks).cast("int"), "part": (F.floor(F.col("slot") / blocks) % blocks).cast("int")})
     # the places of all documents, without their texts
     light = cut(rows.groupBy("source", "block", "part").agg(F.sum("tokens").alias("tokens")), "mix")
-    totals = light.groupBy("source").agg(F.sum("tokens").alias("tokens")).limit(max_sources + 1).collect()
-    if len(totals) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    tokens = {r["source"]: r["tokens"] for r in totals}
-    mix = solve(tokens, target_entropy, max_repeats, budget)
-
-    shares = []
-    for name, total in tokens.items():
-        exact = mix.weights[name] * mix.budget / total if total else 1.0
-        passes = math.floor(exact + 1e-9)
-        shares.append((name, passes, max(0, round((exact - passes) * total))))
-    plan = docs.sparkSession.createDataFrame(shares, "source string, passes int, rest long")
+    totals = cut(light.groupBy("source").agg(F.sum("tokens").alias("tokens")), "mix")
+    # tables of one row a source: written first, so that their sizes are known where they are joined
+    plan = cut(_plan(totals, target_entropy, max_repeats, budget), "mix")
     order, inner = _order(seed, F.col("passes"), F.col("block")), _order(seed, F.col("passes"), F.col("block"), F.col("part"))
-    placed = light.join(F.broadcast(plan), "source").withColumns({"order": order, "inner": inner})
-    border = _border(placed.groupBy("source", "rest", "order").agg(F.sum("tokens").alias("tokens")), "order")
-    within = placed.join(F.broadcast(border), ["source", "order"]).groupBy("source", F.col("left").alias("rest"), "inner").agg(F.sum("tokens").alias("tokens"))
+    placed = light.join(plan, "source").withColumns({"order": order, "inner": inner})
+    border = cut(_border(placed.groupBy("source", "rest", "order").agg(F.sum("tokens").alias("tokens")), "order"), "mix")
+    within = placed.join(border, ["source", "order"]).groupBy("source", F.col("left").alias("rest"), "inner").agg(F.sum("tokens").alias("tokens"))
     last = _border(within, "inner").select("source", F.col("inner").alias("inner_border"))
-    limits = plan.join(border.select("source", F.col("order").alias("order_border")), "source", "left").join(last, "source", "left")
+    limits = cut(plan.join(border.select("source", F.col("order").alias("order_border")), "source", "left").join(last, "source", "left"), "mix")
 
-    chosen = rows.join(F.broadcast(limits), "source").withColumns({"order": order, "inner": inner})
+    chosen = rows.join(limits, "source").withColumns({"order": order, "inner": inner})
     # without a border all of the source fits; that happens only where rest is its whole
     more = F.when(F.col("rest") <= 0, False).otherwise(
         F.coalesce(F.col("order") < F.col("order_border"), F.lit(True)) | ((F.col("order") == F.col("order_border")) & F.coalesce(F.col("inner") < F.col("inner_border"), F.lit(True)))

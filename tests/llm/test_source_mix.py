@@ -54,8 +54,24 @@ def test_edges(spark, edge_documents):
     assert set(edge_documents.columns) < set(out.columns)
     assert temperature_mix(edge_documents.where("false"), max_repeats=2).count() == 0
     assert temperature_mix(edge_documents.where("text is null"), max_repeats=2).count() == 1
-    with pytest.raises(ValueError, match="sources"):
-        temperature_mix(edge_documents, max_repeats=2, max_sources=1)
+
+
+def test_many_sources(spark):
+    """As many sources as documents are mixed like few: by the weights that ``solve`` finds, also where no table of sources is broadcast."""
+    rows = [(i, f"host{i % 700}" if i % 3 else "hot", " ".join(["w"] * (1 + (i % 700) % 23))) for i in range(2100)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    tokens = Counter()
+    for _, s, t in rows:
+        tokens[s] += len(t.split())
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold, options in (("-1", {"target_entropy": 0.98, "budget": 40000.0}), (held, {"max_repeats": 3})):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            mix = solve(dict(tokens), **options)
+            got = {r.source: r.n for r in temperature_mix(df, **options).groupBy("source").agg(F.sum("mix_tokens").alias("n")).collect()}
+            assert all(w * mix.budget - 24 <= got.get(s, 0) <= w * mix.budget + 1 for s, w in mix.weights.items())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
 
 
 def test_whole_table(spark, sf_dir, documents):
