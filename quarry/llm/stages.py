@@ -23,7 +23,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines within one edit of an earlier line; a document that loses all it has goes."""
+    """Takes out lines within one edit of an earlier line; a document that loses all it has goes.
+
+    Null, empty and blank texts lose no line and stay as they are. Repeated rows have one result. An empty table gives no rows.
+    """
     out = line_dedup(docs, kept_col="pipeline_text", lines_col="pipeline_lines", removed_col="pipeline_removed")
     left = F.trim("pipeline_text", F.lit(" \t\r\n\v\f")) != ""
     out = out.where((F.col("pipeline_removed") == 0) | left)
@@ -47,7 +50,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Small sources are gone through up to twice, the largest once; no document is lost."""
+    """Small sources are gone through up to twice, the largest once; no document is lost.
+
+    Documents with a null source are a source of their own. Null, empty and blank texts have no tokens and stand where
+    their block does. Repeated rows count each and go together. An empty table gives no rows.
+    """
     return temperature_mix(docs, max_repeats=2.0).select(*docs.columns)
 
 
