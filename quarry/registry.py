@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import book, pipeline_state, tables, texts  # noqa: F401  (they fill the book)
+from .plans import book, pipeline_state, records, tables, texts  # noqa: F401  (they fill the book)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

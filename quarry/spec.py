@@ -173,11 +173,21 @@ def filters_of(text: str) -> list[dict]:
 
 
 def any_of(columns: dict[str, Column], given: dict) -> Column:
-    """All of the given conditions that aren't None: lists by membership, the rest by equality."""
-    parts = [columns[k].isin(list(v)) if isinstance(v, list | tuple | set) else columns[k] == v for k, v in given.items() if v is not None]
+    """All of the given conditions that aren't None: lists, and text with commas, by membership, the rest by equality."""
+    parts = []
+    for k, v in given.items():
+        if isinstance(v, str) and "," in v:
+            v = [x.strip() for x in v.split(",") if x.strip()]
+        if v is not None:
+            parts.append(columns[k].isin(list(v)) if isinstance(v, list | tuple | set) else columns[k] == v)
     return reduce(operator.and_, parts, F.lit(True))
 
 
+def found_in(word: str, *columns: str) -> Column:
+    """Whether any of the columns holds the word, in either case; null columns hold nothing."""
+    return reduce(operator.or_, (F.coalesce(F.lower(c).contains(word.lower()), F.lit(False)) for c in columns))
+
+
 def execute(request: dict, tables: dict[str, DataFrame], catalog: DataFrame, enums: DataFrame) -> DataFrame:
     """Any action: query, list_tables, describe or lookup_enum."""
     from . import catalog as facts
