@@ -28,12 +28,11 @@ def conversation_list(t):
 
 
 @query("""WITH c AS (SELECT conv_id, 'Conversation ' || conv_id AS title, count(*) AS turns, TIMESTAMP '2020-01-01' AS created_at FROM conversations GROUP BY 1)
-SELECT * FROM c UNION ALL SELECT conv_id + 1000000000, '(fork) ' || title, turns, TIMESTAMP '2024-01-01' FROM c WHERE conv_id % 7 = 0""")
+SELECT * FROM c UNION ALL SELECT conv_id + 1000000000, '(fork) ' || title, turns, TIMESTAMP '2024-01-01' FROM c""")
 def forked_conversations(t):
-    # Forking is asked for by id; a seventh of the ids are asked for here.
     known = t.conversations.select("conv_id").distinct().select("conv_id", F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("title"), F.expr("TIMESTAMP '2020-01-01'").alias("created_at"))
     known = known.withColumn("updated_at", F.col("created_at"))
-    wanted = known.where("conv_id % 7 = 0").select("conv_id", (F.col("conv_id") + 1000000000).alias("new_id"))
+    wanted = known.select("conv_id", (F.col("conv_id") + 1000000000).alias("new_id"))
     heads, turns = conversations.forked(known, t.conversations, wanted, F.expr("TIMESTAMP '2024-01-01'"))
     return heads.join(turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns")), "conv_id").select("conv_id", "title", "turns", "created_at")
 
