@@ -1,6 +1,9 @@
 """SQL of the operators' queries where SQL can say them, for DuckDB."""
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+#: crc32 of an ASCII text: each character, then eight shifts.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"""
 
 SQL = {
     "op1_source_mix": rf"""
@@ -61,4 +64,46 @@ SQL = {
             HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
         ), reach AS (SELECT doc_id AS u, doc_id AS v FROM sets UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
         SELECT doc_id, len(g)::BIGINT AS n_shingles, m.c AS component_id FROM sets JOIN (SELECT u, min(v) AS c FROM reach GROUP BY u) m ON m.u = doc_id""",
+    "op11_turn_repair": rf"""
+        WITH RECURSIVE keyed AS (
+            SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fault FROM conversations
+        ), damaged AS (
+            SELECT c, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM keyed, unnest(CASE fault WHEN 3 THEN [1, 2] ELSE [1] END) WHERE fault <> 0
+        ), ordered AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text)) AS n FROM damaged
+        ), judged AS (
+            SELECT *, substr(role, 1, 1) AS initial, rtrim(text, E' \t\n\x0b\x0c\r') AS core, row_number() OVER (PARTITION BY c, role, text ORDER BY n) > 1 AS again FROM ordered
+        ), turns AS (
+            SELECT *, lag(initial) OVER (PARTITION BY c ORDER BY n) || initial AS pair,
+                CASE WHEN core = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM judged
+        ), runs(before, inserts, here) AS (VALUES ('', 0, ''), ('', 1, 'u'), ('', 2, 'a'), ('s', 0, 's'), ('s', 1, 'u'), ('s', 2, 'a'), ('u', 0, 'u'), ('u', 1, 'a'), ('a', 0, 'a'), ('a', 1, 'u')
+        ), edits(here, letter, after, cost) AS (
+            VALUES ('', 'D', '', 2), ('s', 'D', 's', 2), ('u', 'D', 'u', 2), ('a', 'D', 'a', 2), ('', 'R', 'u', 1), ('s', 'R', 'u', 1), ('u', 'R', 'a', 1), ('a', 'R', 'u', 1),
+                ('', 'K', 's', 0), ('', 'K', 'u', 0), ('s', 'K', 'u', 0), ('u', 'K', 'a', 0), ('a', 'K', 'u', 0)
+        ), scripts AS (
+            SELECT DISTINCT c, 0::BIGINT AS n, '' AS state, {{'cost': 0::BIGINT, 'audit': ''}} AS best FROM turns
+            UNION ALL
+            SELECT s.c, s.n + 1, e.after, min({{
+                'cost': s.best.cost + 5 * r.inserts + e.cost + CASE WHEN e.letter <> 'D' AND t.fault = 'truncated' THEN 5 ELSE 0 END, 'audit': s.best.audit || repeat('I', r.inserts) || e.letter}})
+            FROM scripts s JOIN turns t ON t.c = s.c AND t.n = s.n + 1 JOIN runs r ON r.before = s.state JOIN edits e ON e.here = r.here
+            WHERE (e.letter = 'D' OR coalesce(t.fault, '') NOT IN ('blank', 'duplicate')) AND (e.letter <> 'K' OR e.after = t.initial) GROUP BY ALL
+        ), best AS (
+            SELECT c, min({{'cost': best.cost + 5 * inserts, 'audit': best.audit || repeat('I', inserts)}}) AS best
+            FROM scripts JOIN runs ON before = state JOIN (SELECT c, max(n) AS n FROM turns GROUP BY c) USING (c, n) WHERE here IN ('', 'a') GROUP BY c
+        ), letters AS (
+            SELECT c, i, best.audit[i] AS letter, len(best.audit) - len(replace(replace(replace(best.audit, 'K', ''), 'R', ''), 'I', '')) AS kept FROM best, unnest(range(1, len(best.audit) + 1)) AS u(i)
+        ), placed AS (
+            SELECT *, count(*) FILTER (letter <> 'I') OVER w AS n, count(*) FILTER (letter <> 'D') OVER w + kept % 2 AS place FROM letters WINDOW w AS (PARTITION BY c ORDER BY i)
+        ), repaired AS (
+            SELECT p.c, sha256(string_agg(CASE letter WHEN 'K' THEN role ELSE CASE place % 2 WHEN 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE letter WHEN 'I' THEN '' ELSE text END, E'\n' ORDER BY i)) AS digest
+            FROM placed p LEFT JOIN turns t ON t.c = p.c AND t.n = p.n WHERE letter <> 'D' GROUP BY p.c
+        ), counts AS (
+            SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY c
+        )
+        SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT c, conv_id FROM keyed) k LEFT JOIN counts USING (c) LEFT JOIN best USING (c) LEFT JOIN repaired USING (c)
+    """,
 }

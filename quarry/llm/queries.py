@@ -14,6 +14,7 @@ from .ngram_join import ngram_join
 from .oracles import SQL
 from .source_mix import temperature_mix
 from .substring_dedup import substring_dedup
+from .turn_repair import digests, repair_turns
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +96,26 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     )
 
 
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Conversations with faults put in by the checksum of ``conv_id:turn``: dropped, emptied, without ends of sentences, repeated, said by the user."""
+    space = F.lit(" ")
+    key = F.pmod(F.crc32(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])), F.lit(20))
+    rows = turns.select("conv_id", "turn", key.alias("fault"), *[F.coalesce(c, space).alias(c) for c in ("role", "text")]).where("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    script, counts = repair_turns(damaged_turns(turns))
+    out = turns.select("conv_id").distinct()
+    for found in (counts, digests(script)):
+        out = out.join(found, out["conv_id"].eqNullSafe(found["conv"]), "left").drop("conv")
+    whole = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *whole, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": op1_source_mix,
@@ -107,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_secret_scan": op9_secret_scan,
         "op10_language_id": op10_language_id,
+        "op11_turn_repair": op11_turn_repair,
     }
 
 

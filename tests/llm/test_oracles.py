@@ -7,7 +7,7 @@ from quarry.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_is_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {table} AS FROM '{sf_dir}/{table}.parquet'")
     expected = con.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, sf_dir).select(*expected.columns)
