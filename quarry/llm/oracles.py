@@ -5,6 +5,32 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
     lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"""
 
+def _codes_sql() -> str:
+    """Two rounds of means and three assignments, as one chain of tables."""
+    steps = []
+    for k in range(3):
+        steps.append(f"""near{k} AS (
+            SELECT id, part, min({{'d': d, 'entry': entry}}) AS best FROM (
+                SELECT id, part, entry, sum((x - e) * (x - e))::BIGINT AS d FROM parts JOIN book{k} USING (part, position) GROUP BY id, part, entry) GROUP BY id, part)""")
+        if k < 2:
+            steps.append(f"""mean{k} AS (
+            SELECT part, best.entry AS entry, position, sum(x)::BIGINT AS s, count(*) AS n FROM near{k} JOIN parts USING (id, part) GROUP BY part, best.entry, position)""")
+            steps.append(f"""book{k + 1} AS (
+            SELECT b.part, b.entry, b.position, CASE WHEN n IS NULL THEN e ELSE (s - ((s % n) + n) % n) // n END AS e FROM book{k} b LEFT JOIN mean{k} USING (part, entry, position))""")
+    chain = ", ".join(steps)
+    return rf"""
+        WITH kept AS (
+            SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, len(embedding) // 16 AS width, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS (SELECT id, (i - 1) // width AS part, (i - 1) % width AS position, v[i] AS x FROM kept, unnest(range(1, len(v) + 1)) AS u(i)
+        ), book0 AS (SELECT part, id - 1 AS entry, position, x AS e FROM parts WHERE id <= 64
+        ), {chain}, codes AS (SELECT id, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM near2 GROUP BY id
+        ), digest AS (SELECT sha256(string_agg(e::VARCHAR, ',' ORDER BY part, entry, position)) AS h FROM book2
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM kept JOIN codes USING (id), digest
+    """
+
+
 SQL = {
     "op1_source_mix": rf"""
         WITH d AS (
@@ -106,4 +132,5 @@ SQL = {
             coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
         FROM (SELECT DISTINCT c, conv_id FROM keyed) k LEFT JOIN counts USING (c) LEFT JOIN best USING (c) LEFT JOIN repaired USING (c)
     """,
+    "op12_vector_codes": _codes_sql(),
 }

@@ -15,6 +15,7 @@ from .oracles import SQL
 from .source_mix import temperature_mix
 from .substring_dedup import substring_dedup
 from .turn_repair import digests, repair_turns
+from .vector_codes import errors_by_label, vector_codes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +117,12 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *whole, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+    digest = F.lit(books.digest() if books else None).cast("string")
+    return errors_by_label(codes).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": op1_source_mix,
@@ -129,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secret_scan": op9_secret_scan,
         "op10_language_id": op10_language_id,
         "op11_turn_repair": op11_turn_repair,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
