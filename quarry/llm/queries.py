@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, media_columns, pii, secret_scan
+from . import byte_bpe, language_id, media_columns, pii, secret_scan, toxicity
 from .exact_topk import exact_topk
 from .line_dedup import line_dedup
 from .ngram_join import ngram_join
@@ -123,6 +123,14 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors_by_label(codes).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~toxicity.held_out())
+    model = toxicity.fit(docs.where(~toxicity.held_out()).join(labels, "doc_id"))
+    rows = docs.select("doc_id", "text", toxicity.held_out().alias("held_out"))
+    return toxicity.classify(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": op1_source_mix,
@@ -137,6 +145,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language_id": op10_language_id,
         "op11_turn_repair": op11_turn_repair,
         "op12_vector_codes": op12_vector_codes,
+        "op13_toxicity": op13_toxicity,
     }
 
 
