@@ -126,7 +126,7 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~toxicity.held_out())
-    model = toxicity.fit(docs.where(~toxicity.held_out()).join(labels, "doc_id"))
+    model = toxicity.fit(docs, labels)
     rows = docs.select("doc_id", "text", toxicity.held_out().alias("held_out"))
     return toxicity.classify(rows, model).select("doc_id", "held_out", "score", "predicted")
 

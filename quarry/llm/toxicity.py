@@ -154,32 +154,36 @@ def train(texts: list[str], toxic: np.ndarray, size: int = 16, rounds: int = 100
     return Model(weight, float(bias[1] - bias[0]))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", bytes_per_class: int = 1 << 20, seed: int = 13, **options) -> Model:
-    """Fits on a bounded sample of labelled rows.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bytes_per_class: int = 1 << 20, seed: int = 13, **options) -> Model:
+    """Fits on a bounded sample of the documents that have a label.
 
     Of each label (0 and 1; others and null are left out) the distinct texts of smallest hashes are drawn, as long as they have
     ``bytes_per_class`` bytes together; texts of more than a sixteenth of that aren't drawn, whole texts are. Null and blank texts teach
     nothing, copies count once. Without rows of both labels every text has the score of the one there is, and 0 without any.
-    Lengths and hashes are shuffled, and only drawn texts come to the driver.
+    Ids, lengths and hashes are shuffled, texts never; only drawn texts come to the driver.
     """
-    rows = labelled.select(F.lower(F.col(text_col)).alias("text"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and trim(text) <> ''")
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "text"))
-    short = rows.where(F.octet_length("text") <= bytes_per_class // 16)
-    sizes = cut(short.groupBy("label", "h").agg(F.max(F.octet_length("text")).cast("long").alias("b")), "sizes")
+    key, none = F.col(id_col).alias("id"), Model(np.zeros(BUCKETS, np.float32), -20.0)
+    low = F.lower(F.col(text_col))
+    texts = docs.select(key, low.alias("text"), F.xxhash64(F.lit(seed), low).alias("h")).where((F.octet_length("text") <= bytes_per_class // 16) & (F.trim("text") != ""))
+    known = labels.select(key, F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    sizes = texts.select("id", "h", F.octet_length("text").cast("long").alias("b")).join(known, "id").groupBy("label", "h").agg(F.max("b").alias("b"))
+    sizes = cut(sizes, "sizes")
     whole = {r["label"]: r["b"] for r in sizes.groupBy("label").agg(F.sum("b").alias("b")).collect()}
     if not whole:
-        return Model(np.zeros(BUCKETS, np.float32), -20.0)
+        return none
     # of the smallest hashes twice as many bytes as wanted are expected; only those are put in order
     share = F.create_map(*[F.lit(x) for label, b in whole.items() for x in (label, min(1.0, 2.0 * bytes_per_class / b))])
     few = sizes.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= share[F.col("label")])
     upto = F.sum("b").over(W.partitionBy("label").orderBy("h").rowsBetween(W.unboundedPreceding, 0))
-    limits = {r["label"]: r["h"] for r in few.withColumn("upto", upto).where(F.col("upto") <= bytes_per_class).groupBy("label").agg(F.max("h").alias("h")).collect()}
-    if not limits:
-        return Model(np.zeros(BUCKETS, np.float32), -20.0)
-    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
-    drawn = short.where(F.col("h") <= limit[F.col("label")]).groupBy("label", "h").agg(F.first("text").alias("text")).collect()
-    drawn = sorted((r["label"], r["h"], r["text"]) for r in drawn)
-    return train([t for _, _, t in drawn], np.array([label == 1 for label, _, _ in drawn], bool), **options)
+    drawn = few.withColumn("upto", upto).where(F.col("upto") <= bytes_per_class).select("label", "h").collect()
+    if not drawn:
+        return none
+    # at most a row for each byte of the sample
+    wanted = docs.sparkSession.createDataFrame(sorted({(r["h"],) for r in drawn}), "h long")
+    found = texts.where(F.col("h") <= max(r["h"] for r in drawn)).join(F.broadcast(wanted), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text")).collect()
+    of = {r["h"]: r["text"] for r in found}
+    taught = sorted((r["label"], r["h"]) for r in drawn)
+    return train([of[h] for _, h in taught], np.array([label == 1 for label, _ in taught], bool), **options)
 
 
 def classify(df: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:

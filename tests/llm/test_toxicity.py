@@ -35,6 +35,10 @@ def odds(model, text: str) -> float:
     return model.bias + max((math.fsum(s for s, _ in w) / max(1, sum(n for _, n in w)) for w in windows), default=0.0)
 
 
+def told(rows):
+    return rows.select("doc_id", "text"), rows.select("doc_id", "toxic")
+
+
 @pytest.fixture(scope="module")
 def training(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
@@ -44,14 +48,14 @@ def training(spark, sf_dir):
 
 @pytest.fixture(scope="module")
 def model(training):
-    return toxicity.fit(training.where(~toxicity.held_out()))
+    return toxicity.fit(*told(training.where(~toxicity.held_out())))
 
 
 def test_whole_table_by_plain_sums(spark, sf_dir):
     """Every score of the small table, from the fitted numbers by the definition."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    fitted = toxicity.fit(docs.join(labels, "doc_id").where(~toxicity.held_out()))
+    fitted = toxicity.fit(docs, labels.where(~toxicity.held_out()))
     texts = {r.doc_id: r.text for r in docs.collect()}
     got = {r.doc_id: r for r in op13_toxicity(spark, sf_dir).collect()}
     assert set(got) == set(texts)
@@ -118,15 +122,15 @@ def test_edges(spark, model, edge_documents):
 
 def test_labels_of_one_kind_or_none(spark):
     text = spark.createDataFrame([(1, "fine words", 0), (2, None, 1), (3, "  ", 1), (4, "odd", None), (5, "seven", 7)], "doc_id long, text string, toxic int")
-    assert [r.predicted for r in toxicity.classify(text, toxicity.fit(text)).collect()] == [0] * 5
-    assert [r.predicted for r in toxicity.classify(text, toxicity.fit(text.where("false"))).collect()] == [0] * 5
-    assert [r.predicted for r in toxicity.classify(text, toxicity.fit(text.where("toxic = 0").withColumn("toxic", F.lit(1)))).collect()] == [1] * 5
+    assert [r.predicted for r in toxicity.classify(text, toxicity.fit(*told(text))).collect()] == [0] * 5
+    assert [r.predicted for r in toxicity.classify(text, toxicity.fit(*told(text.where("false")))).collect()] == [0] * 5
+    assert [r.predicted for r in toxicity.classify(text, toxicity.fit(*told(text.where("toxic = 0").withColumn("toxic", F.lit(1))))).collect()] == [1] * 5
 
 
 def test_sample_is_bounded_and_copies_count_once(training, monkeypatch):
     taken = []
     monkeypatch.setattr(toxicity, "train", lambda texts, toxic, **_: taken.append((texts, toxic)))
-    toxicity.fit(training.unionByName(training), bytes_per_class=1 << 16)
+    toxicity.fit(*told(training.unionByName(training)), bytes_per_class=1 << 16)
     (texts, toxic), = taken
     for y in (True, False):
         own = [t for t, z in zip(texts, toxic, strict=True) if z == y]
