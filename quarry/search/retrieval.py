@@ -84,24 +84,50 @@ def nearest_each(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "i
 SHEET_MARKS = (":", "_", "—", "-")
 
 
-def structural(chunks: DataFrame, workbooks: list[str], query: str, forced: dict[str, str] | None = None) -> DataFrame:
-    """All chunks of the named workbooks, scored by the query's terms in text, section and sheet."""
-    terms = X.without_particles(X.words(F.lit(query)))
-    rows = chunks.where(F.col("workbook").isin(*workbooks)).withColumn("terms ", terms)
+_LOW = ("low text", "low section", "low sheet", "own sheet", "own words")
+
+
+def _lowered(chunks: DataFrame) -> DataFrame:
+    """What scores read of chunks, in lower case, once for each chunk whatever asks for it."""
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     own = low("sheet")
     for mark in reversed(SHEET_MARKS):  # the first of them that a name holds parts it, wherever the others stand
         own = F.when(low("sheet").contains(mark), F.regexp_replace(low("sheet"), rf"(?s)\A[^{mark}]*{mark}", "")).otherwise(own)
-    own = F.trim(own)
-    hits = lambda c, least=1: F.size(F.filter("terms ", lambda t: (F.length(t) >= least) & c.contains(t)))
-    n_sheet = hits(own, 2)
-    exact = (n_sheet > 0) & (n_sheet >= F.greatest(F.lit(1.0), F.size(F.split(own, r"\s+")) * 0.5))
-    force = reduce(lambda a, kv: a | (F.lit(kv[0] in query.lower()) & low("sheet").contains(kv[1].lower())), (forced or {}).items(), F.lit(False))
+    rows = chunks.withColumns({"low text": low("text"), "low section": low("section_path"), "low sheet": low("sheet"), "own sheet": F.trim(own)})
+    return rows.withColumn("own words", F.size(F.split("own sheet", r"\s+")))
+
+
+def _structural_score(terms: Column, query: Column, forced: dict[str, str] | None = None) -> Column:
+    """The score of a chunk of a named workbook by a query's terms and the query in lower case."""
+    hits = lambda c, least=1: F.size(F.filter(terms, lambda t: (F.length(t) >= least) & F.contains(F.col(c), t)))
+    in_sheet = hits("own sheet", 2)
+    exact = (in_sheet > 0) & (in_sheet >= F.greatest(F.lit(1.0), F.col("own words") * 0.5))
+    force = reduce(lambda a, kv: a | (F.contains(query, F.lit(kv[0])) & F.col("low sheet").contains(kv[1].lower())), (forced or {}).items(), F.lit(False))
     score = (
-        BASE + BY_TERMS * hits(low("text")) / F.greatest(F.size("terms "), F.lit(1)) + F.when(hits(low("section_path")) > 0, BY_SECTION).otherwise(0.0)
-        + F.least(F.lit(SHEET_MOST), BY_SHEET * n_sheet) + F.when(exact, BY_EXACT).otherwise(0.0) + F.when(force, BY_FORCE).otherwise(0.0)
+        BASE + BY_TERMS * hits("low text") / F.greatest(F.size(terms), F.lit(1)) + F.when(F.exists(terms, lambda t: F.contains(F.col("low section"), t)), BY_SECTION).otherwise(0.0)
+        + F.least(F.lit(SHEET_MOST), BY_SHEET * in_sheet) + F.when(exact, BY_EXACT).otherwise(0.0) + F.when(force, BY_FORCE).otherwise(0.0)
     )
-    return rows.withColumn("score", F.bround(F.least(score, F.lit(MOST)), 9)).drop("terms ")
+    return F.bround(F.least(score, F.lit(MOST)), 9)
+
+
+def structural(chunks: DataFrame, workbooks: list[str], query: str, forced: dict[str, str] | None = None) -> DataFrame:
+    """All chunks of the named workbooks, scored by the query's terms in text, section and sheet."""
+    terms = X.without_particles(X.words(F.lit(query)))
+    rows = _lowered(chunks.where(F.col("workbook").isin(*workbooks))).withColumn("terms ", terms)
+    return rows.withColumn("score", _structural_score(F.col("terms "), F.lit(query.lower()), forced)).drop("terms ", *_LOW)
+
+
+def structural_each(asked: DataFrame, chunks: DataFrame, k: int, forced: dict[str, str] | None = None) -> DataFrame:
+    """(workbook, query, id, score, place): the k best chunks of each asked workbook by each query, for all of them at once; ties by id.
+
+    Each pair of workbook and query is scored once, however many ask it; a task hands on k chunks of a pair. Null workbooks and queries ask nothing.
+    """
+    pairs = asked.select("workbook", "query").where("workbook is not null and query is not null").distinct()
+    pairs = pairs.withColumns({"terms ": X.without_particles(X.words(F.col("query"))), "low ": F.lower("query")})
+    rows = _lowered(chunks).select("id", "workbook", *_LOW).join(pairs, "workbook")
+    rows = rows.select("workbook", "query", "id", _structural_score(F.col("terms "), F.col("low "), forced).alias("score"))
+    place = F.row_number().over(W.partitionBy("workbook", "query").orderBy(F.desc("score"), "id"))
+    return rows.withColumn("place", place).where(F.col("place") <= k)
 
 
 def phrase_search(chunks: DataFrame, phrases: list[str], k: int = 10) -> DataFrame:
