@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.documents import storage_format
+from quarry.documents import headed, storage_format
 
 from .book import query
 
@@ -60,3 +61,32 @@ def page_macros_markdown(t):
     page = F.when(F.col("page_id") % 7 == 0, '<ac:structured-macro ac:name="toc"/>').otherwise(text("<h2>", said, "</h2>", notice, code, table))
     pages = t.pages.select("page_id", text("Page ", n).alias("title"), storage_format.macros_to_html(page)["html"].alias("html"))
     return pages.select("page_id", storage_format.to_markdown(F.col("html"), F.col("title")).alias("markdown"))
+
+
+_BLOCKS = """SELECT p_brand AS sheet, p_size % 3 AS kind, p_name AS n, p_type AS ty, p_size::VARCHAR AS s, 4 * (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) + 1 AS first FROM part"""
+
+
+@query(f"""WITH b AS ({_BLOCKS})
+SELECT sheet, (first + CASE kind WHEN 2 THEN 1 ELSE 0 END)::INTEGER AS start, p::INTEGER AS part, CASE WHEN kind = 2 THEN CASE p WHEN 0 THEN 'L ' || n ELSE 'R ' || ty END END AS label,
+    CASE x WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE first + CASE kind WHEN 0 THEN 1 ELSE 2 END END::INTEGER AS row,
+    CASE kind WHEN 0 THEN ['| name | type | size |', '| --- | --- | --- |', '| ' || n || ' | ' || ty || ' | ' || s || ' |'][x + 1]
+        WHEN 1 THEN ['| a | b | c | d |', '| --- | --- | --- | --- |', '| ' || n || ' | ' || ty || ' | ' || s || ' | x |'][x + 1]
+        ELSE [CASE p WHEN 0 THEN '| a | b | c |' ELSE '| d | e | f |' END, '| --- | --- | --- |', CASE p WHEN 0 THEN '| ' || n || ' | ' || ty || ' |  |' ELSE '| ' || s || ' |  | ' || n || ' |' END][x + 1] END AS line
+FROM b, unnest([0, 1, 2]) AS u(x), unnest(CASE kind WHEN 2 THEN [0, 1] ELSE [0] END) AS v(p)""")
+def sheet_tables(t):
+    """Tables of three shapes on a sheet for each brand: a header, group headers over merged cells, two tables side by side."""
+    place = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey"))
+    block = t.part.select(F.col("p_brand").alias("sheet"), (F.col("p_size") % 3).alias("kind"), F.col("p_name").alias("n"), F.col("p_type").alias("ty"), F.col("p_size").cast("string").alias("s"), (4 * (place - 1) + 1).alias("first"))
+
+    def cell(row: int, col: int, value):
+        return F.struct((F.col("first") + row).alias("row"), F.lit(col).alias("col"), (F.lit(value) if isinstance(value, str) else value).alias("value"))
+
+    n, ty, s = F.col("n"), F.col("ty"), F.col("s")
+    line = lambda row, *values: [cell(row, i + 1, v) for i, v in enumerate(values) if v is not None]
+    plain = F.array(*line(0, "name", "type", "size"), *line(1, n, ty, s))
+    grouped = F.array(*line(0, "One", None, "Two", "Three"), *line(1, "a", "b", "c", "d"), *line(2, n, ty, s, "x"))
+    beside = F.array(*line(0, F.concat(F.lit("L "), n), None, None, None, F.concat(F.lit("R "), ty)), *line(1, "a", "b", "c", None, "d", "e", "f"), *line(2, n, ty, None, None, s, None, n))
+    cells = block.select("sheet", F.inline(F.when(F.col("kind") == 0, plain).when(F.col("kind") == 1, grouped).otherwise(beside)))
+    span = lambda low, high: F.struct(F.col("first").alias("min_row"), F.lit(low).alias("min_col"), F.col("first").alias("max_row"), F.lit(high).alias("max_col"))
+    merges = block.where("kind = 1").select("sheet", F.inline(F.array(span(1, 2))))
+    return headed.markdown_rows(*headed.headed_tables(cells, merges))
