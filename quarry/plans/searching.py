@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarry.lineage import shared_dir
 from quarry.operators import graph
-from quarry.search import executor
+from quarry.search import executor, postings
 
 from .book import query
 
@@ -84,3 +87,25 @@ def plan_results(t):
     queries, steps, chunks, aliases, edges, answers = plan_tables(t)
     found = executor.run_plans(queries, steps, chunks, aliases, edges, executor.by_aliases(chunks, aliases), answers)
     return found.withColumn("score", F.round("score", 6))
+
+
+def _stored_postings(t) -> str:
+    path = f"{shared_dir(t.spark)}/quarry/postings-{uuid.uuid4().hex}"
+    postings.write(postings.term_counts(t.documents), path, buckets=16)
+    return path
+
+
+_COUNTS = r"SELECT word, doc_id, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents) GROUP BY 1, 2"
+
+
+@query(f"""WITH c AS ({_COUNTS}), t AS (SELECT word, count(*) AS docs, min(doc_id) AS first, max(doc_id) AS last, max(c)::INTEGER AS most FROM c GROUP BY 1)
+SELECT word AS term, docs, first, last, most, row_number() OVER (ORDER BY docs DESC, word) AS rank FROM t""")
+def term_files(t):
+    """The terms of stored posting lists of all documents, by frequency."""
+    return postings.by_frequency(t.spark, _stored_postings(t)).select("term", "docs", "first", "last", "most", "rank")
+
+
+@query(f"""WITH c AS ({_COUNTS}) SELECT doc_id AS id, sum(c)::BIGINT AS count FROM c WHERE word IN ('license', 'the') GROUP BY 1 HAVING count(*) = 2""")
+def two_terms_together(t):
+    """Documents with both a frequent and a rare term, read from stored posting lists by their buckets."""
+    return postings.holding_all(t.spark, _stored_postings(t), ["license", "The"], buckets=16)

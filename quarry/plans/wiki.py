@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.documents import headed, storage_format
+from quarry.documents import headed, storage_format, token_scan
 
 from .book import query
 
@@ -90,3 +90,46 @@ def sheet_tables(t):
     span = lambda low, high: F.struct(F.col("first").alias("min_row"), F.lit(low).alias("min_col"), F.col("first").alias("max_row"), F.lit(high).alias("max_col"))
     merges = block.where("kind = 1").select("sheet", F.inline(F.array(span(1, 2))))
     return headed.markdown_rows(*headed.headed_tables(cells, merges))
+
+
+def _named_tables(t):
+    """Typed tables whose values hold names in camel case, with underscores and in capitals."""
+    camel = lambda c: F.replace(F.initcap(c), F.lit(" "), F.lit(""))
+    part = t.part.select(F.col("p_partkey").cast("string").alias("PartKey"), camel("p_name").alias("part_name"), F.concat_ws("_", "p_type", F.concat(F.lit("SIZE"), "p_size")).alias("SizeClass"), "p_size")
+    bought = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    line = bought.select(F.concat_ws("_", F.lit("Line"), F.concat(F.lit("Q"), F.col("l_orderkey").cast("string"))).alias("LineKey"), F.concat(F.lit("see "), camel("p_name"), F.lit(" or "), "l_returnflag").alias("note"), "l_quantity")
+    sold = t.orders.select(F.col("o_orderkey").alias("order_key"), F.concat(F.lit("Buyer_C"), F.col("o_custkey").cast("string")).alias("BuyerName"))
+    return {"PartSheet": part, "lines": line, "ORDER": sold}
+
+
+_PLACES = r"""WITH camel AS (SELECT p_partkey, p_type, p_size, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), '') AS name FROM part
+), cells AS (
+    SELECT 'PartSheet' AS sheet, 'kv-key' AS kind, 1 AS col, 'PartKey' AS header, p_partkey::VARCHAR AS key, p_partkey::VARCHAR AS cell FROM camel UNION ALL SELECT 'PartSheet', 'cell', 2, 'part_name', p_partkey::VARCHAR, name FROM camel
+    UNION ALL SELECT 'PartSheet', 'cell', 3, 'SizeClass', p_partkey::VARCHAR, p_type || '_SIZE' || p_size FROM camel
+    UNION ALL SELECT 'lines', 'kv-key', 1, 'LineKey', 'Line_Q' || l_orderkey, 'Line_Q' || l_orderkey FROM lineitem JOIN camel ON p_partkey = l_partkey
+    UNION ALL SELECT 'lines', 'cell', 2, 'note', 'Line_Q' || l_orderkey, 'see ' || name || ' or ' || l_returnflag FROM lineitem JOIN camel ON p_partkey = l_partkey
+    UNION ALL SELECT 'ORDER', 'cell', 2, 'BuyerName', o_orderkey::VARCHAR, 'Buyer_C' || o_custkey FROM orders
+    UNION ALL SELECT * FROM (VALUES ('PartSheet', 'header', 1, 'PartKey', NULL, 'PartKey'), ('PartSheet', 'header', 2, 'part_name', NULL, 'part_name'), ('PartSheet', 'header', 3, 'SizeClass', NULL, 'SizeClass'), ('PartSheet', 'header', 4, 'p_size', NULL, 'p_size'),
+        ('lines', 'header', 1, 'LineKey', NULL, 'LineKey'), ('lines', 'header', 2, 'note', NULL, 'note'), ('lines', 'header', 3, 'l_quantity', NULL, 'l_quantity'), ('ORDER', 'header', 1, 'order_key', NULL, 'order_key'), ('ORDER', 'header', 2, 'BuyerName', NULL, 'BuyerName'))
+), found AS (
+    SELECT unnest(list_distinct(list_concat(list_concat(regexp_extract_all(cell, '\b[A-Z][a-zA-Z0-9]+(?:_[A-Z][a-zA-Z0-9]+)+\b'), regexp_extract_all(cell, '\b[A-Z][a-z]{1,}(?:[A-Z][a-z0-9]+){1,}\b')), regexp_extract_all(cell, '\b[A-Z]{3,}(?:_[A-Z0-9]{2,})+\b')))) AS token,
+        sheet, kind, col, header, key FROM cells
+), places AS (
+    SELECT *, CASE kind WHEN 'header' THEN 3 WHEN 'kv-key' THEN 5 ELSE 6 END AS rank FROM found WHERE length(token) >= 4
+    UNION ALL SELECT 'PartSheet', 'PartSheet', 'sheet', NULL, NULL, NULL, 2 UNION ALL SELECT 'lines', 'lines', 'sheet', NULL, NULL, NULL, 2 UNION ALL SELECT 'ShopBook', '', 'filename', NULL, NULL, NULL, 1
+)"""
+
+
+@query(_PLACES + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY sheet, rank, key NULLS FIRST, col) AS place FROM places)
+SELECT token, count(*) AS count, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds,
+    string_agg(sheet || '/' || kind || '/' || coalesce(header, '') || '/' || coalesce(key, ''), ' ' ORDER BY place) FILTER (place <= 3) AS first FROM numbered GROUP BY token""")
+def token_index(t):
+    """Names in all cells of several tables with their first three places, in one scan."""
+    out = token_scan.index(token_scan.places(token_scan.cells_of_tables(_named_tables(t), "ShopBook")), 3)
+    place = lambda x: F.concat_ws("/", x["sheet"], x["kind"], F.coalesce(x["header"], F.lit("")), F.coalesce(x["key"], F.lit("")))
+    return out.select("token", "count", F.array_join("kinds", ",").alias("kinds"), F.array_join(F.transform("first", place), " ").alias("first"))
+
+
+@query(_PLACES + " SELECT kind, count(DISTINCT token) AS tokens, count(*) AS places FROM places GROUP BY kind")
+def tokens_of_kinds(t):
+    return token_scan.tokens_by_kind(token_scan.places(token_scan.cells_of_tables(_named_tables(t), "ShopBook")))
