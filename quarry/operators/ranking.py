@@ -6,9 +6,9 @@ is cut to its limit before the shuffle. Orders must be total (end them with an i
 
 from __future__ import annotations
 
-import itertools
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,23 +65,45 @@ def with_quota(rows: DataFrame, group: str, limit: int, *order, quota: int | Non
     return capped_first(rows, group, quota, limit, *order).orderBy(*order)
 
 
+def _by_name(names) -> list[Column]:
+    """Order of columns by name; a hyphen before a name turns it round."""
+    return [F.desc(n[1:]) if n.startswith("-") else F.asc(n) for n in names]
+
+
 def within_budget(rows: DataFrame, keys: list[str], cost: str, budget: int, *order) -> DataFrame:
-    """Rows of each key in order, up to the first that would pass the budget. Costs are 0 or more; null ones cost nothing."""
+    """Rows of each key in order, up to the first that would pass the budget. Costs are 0 or more; null ones cost nothing.
+
+    Orders are columns, or names (``"-score"``, ``"id"``). With names only keys, order and cost are written and summed, and
+    whole rows are looked up again by these: other columns, such as texts, are read for what is kept.
+    """
     counted = rows.withColumn("cost ", F.coalesce(F.col(cost), F.lit(0)))
-    return running_sum(counted, keys, "cost ", *order).where(F.col("total ") <= budget).drop("total ", "cost ")
+    if not all(isinstance(o, str) for o in order):
+        return running_sum(counted, keys, "cost ", *order).where(F.col("total ") <= budget).drop("total ", "cost ")
+    by = [*dict.fromkeys([*keys, *[n.removeprefix("-") for n in order], cost])]
+    kept = running_sum(counted.select(*by, "cost "), keys, "cost ", *_by_name(order)).where(F.col("total ") <= budget)
+    # a written table tells its size: a small one is sent to the rows, not the rows to it
+    kept = cut(kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n ")).select(F.struct(*by).alias("at "), "n "), "kept")
+    same = reduce(lambda a, k: a & rows[k].eqNullSafe(F.col(f"`at `.`{k}`")), by, F.lit(True))
+    found = rows.join(kept, same)
+    place = F.row_number().over(W.partitionBy("at ").orderBy(F.lit(1)))
+    return found.withColumn("place ", place).where(F.col("place ") <= F.col("n ")).drop("at ", "n ", "place ")
+
+
+#: Rounds of sums before what is left of each key is gone through as a stream.
+ROUNDS = 3
 
 
 def skipping_budget(rows: DataFrame, keys: list[str], id_col: str, cost: str, budget: int, order: str) -> DataFrame:
     """(keys, id) of the rows of each key taken in order of ``order`` (descending, then id), passing over those that don't fit.
 
     Costs are 0 or more; rows with a null cost or more than the budget are passed over. Each round takes all rows up to the first
-    that doesn't fit what room is left, then lets go all that don't fit any more; there are few, as the
-    room shrinks to less than any cost left.
+    that doesn't fit what room is left, then lets go all that don't fit any more. What ``ROUNDS`` of them leave, rows that are smaller than
+    the room but come between larger ones, goes through one task a key, sorted, as a stream of ids and costs.
     """
     by = (F.desc(order), F.asc(id_col))
     left = rows.select(*keys, id_col, order, F.col(cost).alias("cost "), F.lit(budget).alias("room ")).where(F.col("cost ") <= budget)
     taken = []
-    for n in itertools.count():
+    for n in range(ROUNDS):
         summed = cut(running_sum(left, keys, "cost ", *by), "budget")
         fit = F.col("total ") <= F.col("room ")
         taken.append(summed.where(fit).select(*keys, id_col))
@@ -90,6 +112,23 @@ def skipping_budget(rows: DataFrame, keys: list[str], id_col: str, cost: str, bu
         used = summed.groupBy(*keys).agg(F.coalesce(F.max(F.when(fit, F.col("total "))), F.lit(0)).alias("used ")).select(F.struct(*keys, F.lit(n)).alias("key "), "used ")
         same = reduce(lambda a, k: a & summed[k].eqNullSafe(F.col(f"`key `.`{k}`")), keys, F.lit(True))
         left = summed.where(~fit).join(used, same).withColumn("room ", F.col("room ") - F.col("used ")).where(F.col("cost ") <= F.col("room ")).drop("total ", "used ", "key ")
+    ordered = (left.repartition(*keys) if keys else left.coalesce(1)).sortWithinPartitions(*[F.col(k) for k in keys], *by).select(*keys, id_col, "cost ", "room ")
+    width = len(keys)
+
+    def fold(batches):
+        key, room = None, None
+        for batch in batches:
+            own = list(zip(*(batch.column(i).to_pylist() for i in range(width)), strict=True)) if width else [()] * batch.num_rows
+            fits = []
+            for k, c, first in zip(own, batch.column("cost ").to_pylist(), batch.column("room ").to_pylist(), strict=True):
+                if room is None or k != key:
+                    key, room = k, first
+                fits.append(c <= room)
+                room -= c if fits[-1] else 0
+            yield batch.filter(pa.array(fits, pa.bool_())).select(range(width + 1))
+
+    taken.append(ordered.mapInArrow(fold, taken[0].schema))
+    return reduce(DataFrame.unionByName, taken)
 
 
 def scaled_to_ten(rows: DataFrame, value: str, out: str) -> DataFrame:

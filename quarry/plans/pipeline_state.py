@@ -219,7 +219,7 @@ def quota_per_source(t):
 @query("""WITH x AS (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS total FROM documents)
 SELECT source, doc_id FROM x WHERE total <= 40000""")
 def token_budget(t):
-    return ranking.within_budget(t.documents, ["source"], "n_chars", 40000, F.desc("n_chars"), F.asc("doc_id")).select("source", "doc_id")
+    return ranking.within_budget(t.documents, ["source"], "n_chars", 40000, "-n_chars", "doc_id").select("source", "doc_id")
 
 
 @query("""WITH RECURSIVE r AS (SELECT source, doc_id, n_chars AS c, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS p FROM documents WHERE n_chars <= 30000),

@@ -8,7 +8,7 @@ from quarry import catalog
 from quarry.documents import cleanup, grid, markdown
 from quarry.functions import text as X
 from quarry.functions import udfs
-from quarry.operators import ranking
+from quarry.operators import passages, ranking
 from quarry.search import lexical, retrieval
 
 from .book import query
@@ -183,56 +183,8 @@ def token_places(t):
 @query("""WITH b AS (SELECT item_id, trim(lower(regexp_replace(regexp_replace(text, '["''“”‘’`]', '', 'g'), '\\s+', ' ', 'g'))) AS q FROM benchmark), d AS (SELECT string_agg(trim(lower(regexp_replace(regexp_replace(text, '["''“”‘’`]', '', 'g'), '\\s+', ' ', 'g'))), ' ¶ ') AS all_text FROM documents)
 SELECT item_id FROM b, d WHERE contains(all_text, q)""")
 def passages_in_documents(t):
-    """Benchmark passages that stand in some document, found by keys of their first eight words (fewer for shorter passages).
-
-    A passage may begin and end within a word, so keys hold only the end of its first word and, in passages of up
-    to eight words, the start of its last; the lengths that the passages need are read first (26 shapes at most).
-    Where the key says all, equality decides; other candidates are looked up in the document.
-    """
-    form = lambda c: F.split(X.quoted_form(F.col(c)), " ")
-    size = F.size("w")
-    first, last = (F.char_length(F.element_at("w", at)) for at in (1, -1))
-    ends = F.when(size <= 3, 3).otherwise(1)
-    shape = F.when(size == 1, F.struct(F.lit(1).alias("n"), F.least(first, F.lit(8)).alias("x"), F.lit(0).alias("y"))).otherwise(
-        F.struct(F.least(size, F.lit(8)).alias("n"), F.least(first, ends).alias("x"), F.when(size <= 8, F.least(last, ends)).otherwise(-1).alias("y"))
-    )
-    items = t.benchmark.select("item_id", form("text").alias("w"), X.quoted_form(F.col("text")).alias("q")).where("w is not null").withColumn("shape", shape)
-    says_all = (size <= 8) & (F.col("shape.x") == first) & ((size == 1) | (F.col("shape.y") == last))
-    items = items.select("item_id", "q", "shape", _passage_key("w", F.lit(1), F.col("shape.n"), F.col("shape.x"), F.col("shape.y")).alias("k"), says_all.alias("says_all"))
-    docs = t.documents.select("doc_id", form("text").alias("w"), X.quoted_form(F.col("text")).alias("d"))
-    shapes = [(r["says_all"], tuple(r["shape"])) for r in items.select("says_all", "shape").distinct().collect()]
-    found = items.select("item_id").where("false")
-    for sure in {s for s, _ in shapes}:
-        keys = docs.select("doc_id", F.explode(_passage_keys([shape for s, shape in shapes if s == sure])).alias("k"))
-        mine = items.where(F.col("says_all") == sure).select("item_id", "k", "q")
-        if sure:
-            hits = mine.join(keys.select("k").distinct(), "k", "left_semi")
-        else:
-            pairs = mine.join(keys, "k").select("item_id", "q", "doc_id").join(docs.select("doc_id", "d"), "doc_id")
-            hits = pairs.where(F.col("d").contains(F.col("q")))
-        found = found.unionByName(hits.select("item_id"))
-    return found.distinct()
-
-
-def _passage_key(words: str, at, n, x, y):
-    """The key of ``n`` words from place ``at``: the last ``x`` characters of the first, whole words, the first ``y`` of the last (-1: all); of one word its first ``x``."""
-    w = F.slice(words, at, n)
-    first, last = F.element_at(w, 1), F.element_at(w, -1)
-    many = F.concat(F.array(F.right(first, x)), F.slice(w, 2, F.greatest(n - 2, F.lit(0))), F.array(F.when(y < 0, last).otherwise(F.left(last, y))))
-    return F.concat(F.concat_ws(",", n, x, y), F.lit(" "), F.when(n == 1, F.left(first, x)).otherwise(F.array_join(many, " ")))
-
-
-def _passage_keys(shapes: list[tuple[int, int, int]]):
-    """Each key of these shapes in words ``w``, once. A passage of one word may begin anywhere in a word."""
-
-    def keys(n, x, y):
-        if n == 1:
-            parts = lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w) - x + 1), lambda i: F.concat(F.lit(f"1,{x},{y} "), F.substr(w, i, F.lit(x))))
-            return F.flatten(F.transform(F.filter(F.array_distinct("w"), lambda w: F.char_length(w) >= x), parts))
-        at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: _passage_key("w", i, F.lit(n), F.lit(x), F.lit(y)))
-
-    return F.array_distinct(F.flatten(F.array(*[keys(*shape) for shape in shapes])))
+    """Benchmark passages that stand in some document, both without quotes and with single blanks."""
+    return passages.found_in_texts(t.benchmark, t.documents, "item_id", X.quoted_form(F.col("text")), X.quoted_form(F.col("text"))).select(F.col("id").alias("item_id"))
 
 
 @query("SELECT doc_id, lower(text) SIMILAR TO '.*password.*' AS found FROM documents".replace("lower(text) SIMILAR TO '.*password.*'", "contains(lower(text), 'password')"))

@@ -175,7 +175,7 @@ def assembled(ranked: DataFrame, systems: list[str], top_k: int, budget: int) ->
     """
     order = (F.desc("score"), F.asc("id"))
     if len(systems) < 2:
-        return within_budget(ranked, [], "tokens", budget, *order).orderBy(*order).limit(top_k)
+        return within_budget(ranked, [], "tokens", budget, "-score", "id").orderBy(*order).limit(top_k)
     slots = max(3, top_k // len(systems))
     own = ranked.where(F.col("workbook").isin(*systems))
     own = own.withColumn("p", F.row_number().over(W.partitionBy("workbook").orderBy(*order))).where(F.col("p") <= slots)
@@ -184,7 +184,7 @@ def assembled(ranked: DataFrame, systems: list[str], top_k: int, budget: int) ->
     first = skipping_budget(own.withColumn("turn", turn * 1e6 + F.col("score")), [], "id", "tokens", budget, "turn")
     kept = ranked.join(first, "id", "left_semi")
     used, n = kept.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count(F.lit(1))).first()
-    rest = within_budget(ranked.join(first, "id", "left_anti"), [], "tokens", budget - used, *order).orderBy(*order).limit(max(0, top_k - n))
+    rest = within_budget(ranked.join(first, "id", "left_anti"), [], "tokens", budget - used, "-score", "id").orderBy(*order).limit(max(0, top_k - n))
     return kept.unionByName(rest.select(*ranked.columns)).orderBy(*order)
 
 
