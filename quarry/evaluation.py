@@ -74,3 +74,19 @@ def next_id(ids: DataFrame, column: str, prefix: str) -> DataFrame:
     """One row: the prefix and the greatest number so far plus one, in four digits."""
     number = F.regexp_extract(column, rf"^{prefix}(\d+)$", 1)
     return ids.agg((F.coalesce(F.max(F.when(number != "", number.cast("int"))), F.lit(0)) + 1).alias("n")).select(F.concat(F.lit(prefix), F.lpad(F.col("n").cast("string"), 4, "0")).alias("next_id"))
+
+
+# What a question asks for, and how much of a comment and of a value it takes.
+ASKS, COMMENT_CHARS, VALUE_CHARS = " 의 정확한 값과 상수명은? (DataSheet 우선)", 60, 25
+
+
+def key_value_questions(rows: DataFrame, file: str, sheet: str, key: str, value: str, comments: list[str]) -> DataFrame:
+    """(id, question, must_contain, hint) of each row with a key: what the first comment in Hangul (else the key) names is asked for.
+
+    The value must be in an answer if it is shorter than 25 characters.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    comment = F.coalesce(*[F.when(text(c).rlike("[가-힣]"), text(c)) for c in comments], text(key))
+    must = F.when((text(value) != "") & (F.char_length(text(value)) < VALUE_CHARS), F.array(text(key), text(value))).otherwise(F.array(text(key)))
+    out = rows.where(text(key) != "").select(F.concat_ws("-", F.lit("kv"), F.lit(file), text(key)).alias("id"), F.concat(F.left(comment, F.lit(COMMENT_CHARS)), F.lit(ASKS)).alias("question"), must.alias("must_contain"))
+    return out.withColumn("hint", F.lit(f"DataSheet / {sheet}"))

@@ -190,3 +190,20 @@ def paired_topics(evidence: DataFrame) -> DataFrame:
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), F.lit(0)), F.lit(len(SEVERITIES) + 1)).cast("int")
     found = evidence.withColumn("rank", rank).groupBy("pair_id", "type", "topic").agg(F.count_distinct("side").alias("sides"), F.min(F.struct("rank", "severity")).alias("s"))
     return found.where("sides = 2").select("pair_id", "type", "topic", "s.severity", "s.rank")
+
+
+def united(*sources: DataFrame, key: str = "name") -> DataFrame:
+    """Rows of several sources of systems, each system once: a value is that of the first source that has one.
+
+    Sources may lack columns of one another. Rows without a key are left out; of rows of one source with one key the least values count.
+    """
+    names = list(dict.fromkeys(c for df in sources for c in df.columns if c != key))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("source ", F.lit(i)) for i, df in enumerate(sources)]).where(F.col(key).isNotNull())
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("source ", F.col(c).alias("value"))))["value"].alias(c)
+    return rows.groupBy(key).agg(*[first(c) for c in names])
+
+
+def edges_with_attributes(nodes: DataFrame, name: str = "name", related: str = "related", attributes: tuple[str, ...] = ("description", "sheet_count")) -> DataFrame:
+    """(source, target, the target's attributes, raw_degree): each reference of a node's list, repeated ones as often as they stand, also to nodes that aren't there."""
+    edges = nodes.select(F.col(name).alias("source"), F.size(F.coalesce(related, F.array())).alias("raw_degree"), F.explode(related).alias("target"))
+    return edges.join(nodes.select(F.col(name).alias("target"), *attributes).dropDuplicates(["target"]), "target", "left").select("source", "target", *attributes, "raw_degree")
