@@ -25,6 +25,8 @@ from .words import slices, text_buffer
 UNKNOWN = "und"
 #: A text is read as if this many spaces stood before it.
 _PAD = b"        "
+#: Languages of one model, and bytes of models that are sent to a worker at once.
+TOGETHER, MOST_BYTES = 8, 256 << 20
 _LETTER = re.compile(r"[A-Za-z]")
 
 
@@ -111,23 +113,56 @@ class Model:
                 cost[missed] = self.escapes[0][0] + np.float32(8)
         return cost
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], list[float], list[float]]:
-        """Language, probability and bits a byte for each text."""
-        names, scores, rates = [], [], []
-        for low, high in slices(texts, 1 << 20):
-            part = texts.slice(low, high - low)
-            bits = self.bits(part)
-            for text, row in zip(part.to_pylist(), bits, strict=True):
-                if not self.languages or text is None or not letters(text):
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    rates.append(None)
-                    continue
-                best = int(row.argmin())
-                names.append(self.languages[best])
-                scores.append(float(1 / np.exp2(np.maximum(row[best] - row, -1000)).sum()))
-                rates.append(float(row[best] / len(text.encode())))
-        return names, scores, rates
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (*self.costs, *self.escapes)) + sum(g.slot.nbytes + g.key.nbytes for g in (*self.grams, *self.contexts))
+
+
+@dataclass
+class Models:
+    """Trees of all languages, a few in each model: n-grams that no language of a model knows take no room in it."""
+
+    parts: list[Model]
+
+    @property
+    def languages(self) -> list[str]:
+        return [name for part in self.parts for name in part.languages]
+
+    @property
+    def nbytes(self) -> int:
+        return sum(part.nbytes for part in self.parts)
+
+    def bits(self, column) -> np.ndarray:
+        """Code length of each text under each language, some texts and one model at a time."""
+        found = [np.zeros((0, len(self.languages)))]
+        for low, high in slices(column, 1 << 20):
+            found.append(np.hstack([part.bits(column.slice(low, high - low)) for part in self.parts] or [np.zeros((high - low, 0))]))
+        return np.concatenate(found)
+
+    def groups(self, most: int) -> list[Models]:
+        """The models in their order, in groups of ``most`` bytes or of one model."""
+        out: list[Models] = []
+        for part in self.parts:
+            if not out or out[-1].nbytes + part.nbytes > most:
+                out.append(Models([]))
+            out[-1].parts.append(part)
+        return out
+
+
+def judged(languages: list[str], texts: pa.Array, bits: np.ndarray) -> tuple[list[str], list[float], list[float]]:
+    """Language, probability and bits a byte for each text, from its code lengths."""
+    names, scores, rates = [], [], []
+    for text, row in zip(texts.to_pylist(), bits, strict=True):
+        if not languages or text is None or not letters(text):
+            names.append(UNKNOWN)
+            scores.append(0.0)
+            rates.append(None)
+            continue
+        best = int(row.argmin())
+        names.append(languages[best])
+        scores.append(float(1 / np.exp2(np.maximum(row[best] - row, -1000)).sum()))
+        rates.append(float(row[best] / len(text.encode())))
+    return names, scores, rates
 
 
 def build(languages: list[str], order: int, counts: list[tuple[np.ndarray, np.ndarray]]) -> Model:
@@ -160,14 +195,15 @@ def build(languages: list[str], order: int, counts: list[tuple[np.ndarray, np.nd
     return Model(languages, order, grams, costs, contexts, escapes)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = 3, bytes_per_language: int = 4 << 20, max_languages: int = 256, seed: int = 11) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = 3, bytes_per_language: int = 4 << 20, seed: int = 11) -> Models:
     """Fits the trees on a bounded sample of labelled rows.
 
     Of each language the distinct texts of smallest hashes are drawn, as long as they have ``bytes_per_language`` bytes
     together, and always the first. A text longer than a sixteenth of that gives a piece of so many characters, from a
     place drawn by its hash. So no language is left out, whatever its copies or its longest text, and the sample has at most
     ``bytes_per_language`` bytes for each language (or a quarter of that and one text's piece). Copies count once. Rows whose
-    text or language is null and empty texts are left out. More than ``max_languages`` languages are refused.
+    text or language is null and empty texts are left out. Languages may be of any number: their counts come to the driver for ``TOGETHER`` languages at a
+    time, and what is kept of them grows with their number, not with its square.
     """
     piece = max(1, bytes_per_language // 16)
     most = max(1, bytes_per_language // 64)
@@ -177,11 +213,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
     at = F.pmod(F.col("h"), F.char_length("text") - piece + 1).cast("int") + 1
     rows = rows.select("lang", "h", F.when(long, F.substr("text", at, F.lit(piece))).otherwise(F.col("text")).alias("text"))
     sizes = cut(rows.groupBy("lang", "h").agg(F.max(F.octet_length("text")).cast("long").alias("b")), "languages")
-    whole = sizes.groupBy("lang").agg(F.sum("b").alias("b"), F.min("h").alias("h")).limit(max_languages + 1).collect()
-    if len(whole) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    whole = sizes.groupBy("lang").agg(F.sum("b").alias("b"), F.min("h").alias("h")).collect()
     if not whole:
-        return build([], order, [])
+        return Models([])
     # of the smallest hashes, twice as many bytes as wanted are expected; only those are put in order
     share = F.create_map(*[F.lit(x) for r in whole for x in (r["lang"], min(1.0, 2.0 * bytes_per_language / r["b"]))])
     few = sizes.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= share[F.col("lang")])
@@ -214,13 +248,17 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["lang", "gram", "n"])
 
-    counted = drawn.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(counted["lang"].unique().tolist())
-    parts = [counted[counted["lang"] == lang] for lang in languages]
-    return build(languages, order, [(p["gram"].to_numpy().astype(np.uint64), p["n"].to_numpy().astype(np.float64)) for p in parts])
+    counted = cut(drawn.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    languages, parts = sorted(r["lang"] for r in counted.select("lang").distinct().collect()), []
+    for at in range(0, len(languages), TOGETHER):
+        some = languages[at : at + TOGETHER]
+        own = counted.where(F.col("lang").isin(some)).toPandas()
+        own = [own[own["lang"] == lang] for lang in some]
+        parts.append(build(some, order, [(p["gram"].to_numpy().astype(np.uint64), p["n"].to_numpy().astype(np.float64)) for p in own]))
+    return Models(parts)
 
 
-def identify(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", rate_col: str = "bits_per_byte") -> DataFrame:
+def identify(df: DataFrame, model: Models, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", rate_col: str = "bits_per_byte") -> DataFrame:
     """Adds language, its probability among the learned ones, and bits a byte under it.
 
     Null text, or text without a letter, or an empty model: ``und``, 0 and null. Rows are judged alone, so repeated
@@ -229,20 +267,50 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", lang_col: str
     """
     df = df.drop(lang_col, score_col, rate_col)
     schema = df.withColumns({lang_col: F.lit(""), score_col: F.lit(0.0), rate_col: F.lit(None).cast("double")}).schema
-    shipped = df.sparkSession.sparkContext.broadcast(model)
+    fields = schema.names
+    groups, languages = model.groups(MOST_BYTES) or [model], model.languages
+    lengths = "code lengths"
+    if len(groups) > 1:
+        # more than a worker is to hold: a group of models at a time measures all texts, which are written in between
+        df = df.withColumn(lengths, F.array().cast("array<double>"))
+        for group in groups:
+            df = cut(_measured(df, group, text_col, lengths), "lengths")
+        groups = []
+    shipped = df.sparkSession.sparkContext.broadcast(groups[0]) if groups else None
 
     def score(batches):
         for batch in batches:
-            names, scores, rates = shipped.value.predict(batch.column(text_col).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], [*batch.schema.names, lang_col, score_col, rate_col])
+            texts = batch.column(text_col).cast(pa.string())
+            if shipped:
+                bits = shipped.value.bits(texts)
+            else:
+                bits = np.array(batch.column(lengths).flatten()).reshape(len(texts), len(languages))
+            names, scores, rates = judged(languages, texts, bits)
+            columns = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != lengths]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], fields)
 
     return df.mapInArrow(score, schema)
 
 
+def _measured(df: DataFrame, group: Models, text_col: str, lengths: str) -> DataFrame:
+    """``df`` with the code lengths under a group of languages added to those it has."""
+    shipped = df.sparkSession.sparkContext.broadcast(group)  # MOST_BYTES, or one model
+
+    def each(batches):
+        for batch in batches:
+            known = np.array(batch.column(lengths).flatten()).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
+            both = np.hstack([known, shipped.value.bits(batch.column(text_col).cast(pa.string()))])
+            column = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * both.shape[1], pa.int32()), pa.array(both.ravel()))
+            at = batch.schema.get_field_index(lengths)
+            yield batch.set_column(at, lengths, column)
+
+    return df.mapInArrow(each, df.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Whether a row may not be learned from: crc32 of the id as text leaves 2 by 4. A null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit_on_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> Model:
+def fit_on_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> Models:
     return fit(docs.where(~held_out(id_col) & F.col(id_col).isNotNull()), **options)
