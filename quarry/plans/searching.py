@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 
 from quarry.lineage import shared_dir
 from quarry.operators import graph
-from quarry.search import executor, postings
+from quarry.search import executor, postings, tools
 
 from .book import query
 
@@ -109,3 +109,24 @@ def term_files(t):
 def two_terms_together(t):
     """Documents with both a frequent and a rare term, read from stored posting lists by their buckets."""
     return postings.holding_all(t.spark, _stored_postings(t), ["license", "The"], buckets=16)
+
+
+@query("""WITH d AS (SELECT doc_id AS id, text FROM documents), p AS (SELECT p_partkey AS id, p_name || ' ' || p_type AS text FROM part),
+a AS (SELECT 'find_text' AS tool, id, ((length(lower(text)) - length(replace(lower(text), 'ation', ''))) / 5)::DOUBLE AS score FROM d WHERE contains(lower(text), 'ation') ORDER BY score DESC, id LIMIT 20
+), b AS (SELECT 'find_phrases' AS tool, id, round_even((least(1.0, 0.7 + 0.15 * (contains(text, 'cold widget')::INT + contains(text, 'PROMO')::INT + contains(text, 'bolt')::INT) / 3 + CASE WHEN contains(text, 'cold widget') THEN 0.15 ELSE 0 END))::DOUBLE, 9) AS score
+    FROM p WHERE contains(text, 'cold widget') OR contains(text, 'PROMO') OR contains(text, 'bolt') ORDER BY score DESC, id LIMIT 30
+), c AS (SELECT 'find_terms' AS tool, id, (list_contains(string_split(lower(text), ' '), 'widget')::INT + list_contains(string_split(lower(text), ' '), 'small')::INT)::DOUBLE / 2 AS score FROM p WHERE score >= 0.75 ORDER BY score DESC, id LIMIT 500
+), e AS (SELECT 'find_vectors' AS tool, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], list_transform(range(64), lambda i: (CASE WHEN i % 2 = 0 THEN 1.0 ELSE -0.5 END)::DOUBLE)), 6) AS score FROM embeddings
+    ORDER BY score DESC, id LIMIT 10)
+SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM e""")
+def called_tools(t):
+    """Four tools called by name, in SQL, with named arguments."""
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
+    parts = t.part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    vectors = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    asked = [
+        (docs, "find_text", {"keyword": "Ation", "case": "any", "limit": 20}), (parts, "find_phrases", {"phrases": ["cold widget", "PROMO", "bolt"], "limit": 30}),
+        (parts, "find_terms", {"query": "small widget", "least": 0.75, "limit": 500}), (vectors, "find_vectors", {"vector": [1.0, -0.5] * 32}),
+    ]
+    out = [tools.call(rows, name, arguments).select(F.lit(name).alias("tool"), "id", "score") for rows, name, arguments in asked]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
