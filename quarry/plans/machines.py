@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import crawl_state, job_chains
+from quarry.operators import crawl_state, dimensions, job_chains
 
 from .book import query
 
@@ -94,3 +94,35 @@ SELECT document, stage, j.st AS status, j.r AS retries, j.e AS error, j.ss AS st
 def chained_jobs(t):
     """Jobs of all documents after their events: starts, ends, retries, and the stages that follow."""
     return job_chains.folded(job_events(t), max_retries=2)
+
+
+def dimension_facts(t):
+    """(systems, facts, judged): customers as systems, their orders as conflicts, lines of the orders as edges."""
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    system = F.col("c_name").alias("system")
+    grade = F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "odd"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    verdict = F.when(F.col("o_orderkey") % 5 > 0, F.element_at(F.array(*map(F.lit, ("confirmed", "uncertain", "rejected", "confirmed"))), (F.col("o_orderkey") % 5).cast("int")))
+    conflicts = o.select(system, F.lit("conflict").alias("dimension"), F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("topic"), grade.alias("grade"), verdict.alias("verdict"))
+    strength = F.element_at(F.array(*map(F.lit, ("strong", "weak", "loose"))), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    edges = t.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(system, F.lit("hub").alias("dimension"), F.lit("edge").alias("kind"), F.col("l_partkey").cast("string").alias("topic"), strength.alias("grade"), F.lit(None).cast("string").alias("verdict"))
+    judged = t.customer.where("c_custkey % 50 = 0").select(system, (F.col("c_custkey") / 50).cast("int").alias("place"), F.lit("A").alias("grade"), F.col("c_mktsegment").alias("rationale"))
+    return t.customer.select(system), conflicts.unionByName(edges), judged
+
+
+@query("""WITH f AS (
+    SELECT c_name AS system, 'conflict' AS dimension, o_orderstatus AS kind, o_orderpriority AS topic, [3.0, 1.5, 0.7, 0.5][o_orderkey % 4 + 1]::DOUBLE AS w, o_orderkey % 5 <> 3 AS ok FROM orders JOIN customer ON c_custkey = o_custkey
+    UNION ALL SELECT c_name, 'hub', 'edge', l_partkey::VARCHAR, [1.5, 1.0, 0.5][l_linenumber % 3 + 1]::DOUBLE, true FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+), topics AS (SELECT system, dimension, kind, topic, CASE dimension WHEN 'conflict' THEN max(w) FILTER (ok) ELSE sum(w) END AS w FROM f GROUP BY system, dimension, kind, topic
+), raw AS (SELECT system, dimension, sum(coalesce(w, 0)) AS raw FROM topics GROUP BY system, dimension
+), s AS (SELECT c_name AS system, d.dimension AS dimension, round_even(coalesce(raw.raw, 0), 9) AS raw FROM customer CROSS JOIN (VALUES ('conflict'), ('hub')) d(dimension) LEFT JOIN raw ON raw.system = c_name AND raw.dimension = d.dimension
+), v AS (SELECT *, CASE WHEN max(raw) OVER (PARTITION BY dimension) > 0 THEN round_even(raw * 10.0 / max(raw) OVER (PARTITION BY dimension), 2) ELSE 0 END AS value FROM s
+), t AS (SELECT system, round_even(sum(value), 2) AS total, max(value) FILTER (dimension = 'conflict') AS conflict, max(value) FILTER (dimension = 'hub') AS hub FROM v GROUP BY 1
+), j AS (SELECT c_name AS system, (c_custkey // 50)::INTEGER AS place, 'A' AS grade, c_mktsegment AS rationale FROM customer WHERE c_custkey % 50 = 0)
+SELECT row_number() OVER (ORDER BY place IS NULL, place, total DESC, t.system) AS rank, t.system, total, conflict, hub, grade, rationale FROM t LEFT JOIN j ON j.system = t.system""")
+def ranked_systems(t):
+    """Both dimensions of all systems in one chain; the hub's part is run again and put in place of what was there."""
+    systems, facts, judged = dimension_facts(t)
+    both = dimensions.scores(systems, facts, ["conflict", "hub"])
+    again = dimensions.replaced(both.withColumn("value", F.when(F.col("dimension") == "hub", -1.0).otherwise(F.col("value"))), dimensions.scores(systems, facts, ["hub"]))
+    out = dimensions.ranked(again, judged)
+    return out.select("rank", "system", "total", F.col("values")["conflict"].alias("conflict"), F.col("values")["hub"].alias("hub"), "grade", "rationale")
