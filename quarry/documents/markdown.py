@@ -58,7 +58,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
     are joined to one.
     """
     rows = sections(docs, id_col, text_col)
-    split = F.filter(F.split(F.concat(F.lit("\n"), F.col("text")), r"\n(?=### )"), lambda x: F.trim(x, F.lit(" \n")) != "")
+    split = F.filter(F.split(F.col("text"), r"\n(?=### )"), lambda x: F.trim(x, F.lit(" \n")) != "")
     pieces = F.when(X.estimated_tokens(F.col("text")) > most, packed(split, most)).otherwise(F.array("text"))
     out = rows.select(id_col, "position", "heading", F.posexplode(pieces).alias("part", "text")).withColumn("tokens", X.estimated_tokens(F.col("text")))
     by_doc = W.partitionBy(id_col)
