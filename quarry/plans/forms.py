@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarry.documents import markdown
+from quarry.functions import colours, udfs
 from quarry.functions import text as X
-from quarry.functions import udfs
 from quarry.lineage import shared_dir
+from quarry.operators import graph
 from quarry.sources import files
 from quarry.streaming import logs
 
@@ -102,3 +103,42 @@ def ingested_logs(t):
     stream = t.spark.readStream.schema(rows.schema).parquet(f"{at}/in")
     logs.ingest(stream, f"{at}/out", f"{at}/checkpoint", ("src0", "src1"), {"availableNow": True}).awaitTermination()
     return t.spark.read.parquet(f"{at}/out").select("event_id", "level", "message", F.col("day").cast("string").alias("day"))
+
+
+@query("""WITH t(number, r, g, b) AS (VALUES (0, 255, 255, 255), (1, 0, 0, 0), (2, 231, 230, 230), (3, 68, 84, 106), (4, 68, 114, 196), (5, 237, 125, 49), (6, 165, 165, 165), (7, 255, 192, 0), (8, 91, 155, 213), (9, 112, 173, 71), (10, 255, 255, 255), (11, 255, 255, 255)
+), p AS (SELECT p_partkey, (p_size % 12)::INTEGER AS number, (p_size - 25) / 20.0::DOUBLE AS tint FROM part
+), c AS (SELECT p_partkey, unnest([1, 2, 3]) AS i, unnest([r, g, b]) AS v, tint FROM p JOIN t USING (number))
+SELECT p_partkey, string_agg(printf('%02X', least(255, greatest(0, trunc(CASE WHEN tint > 0 THEN v + (255 - v) * tint WHEN tint < 0 THEN v * (1 + tint) ELSE v END)))::INTEGER), '' ORDER BY i) AS colour FROM c GROUP BY 1""")
+def theme_colours(t):
+    return t.part.select("p_partkey", colours.theme_colour((F.col("p_size") % 12).cast("int"), (F.col("p_size") - 25) / 20.0).alias("colour"))
+
+
+def system_texts(t):
+    """A text for each brand that refers to others by prefix, cell, heading and declaration."""
+    b = F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int")
+    name = lambda k: F.concat(F.lit("Brand"), ((F.col("b") * k) % 25 + 1).cast("string"))
+    text = F.concat(F.lit("## About "), name(7), F.lit("\nuses 'PK_"), name(3), F.lit("', and "), name(5), F.lit("!B2 or Sheet1!A1\n#### not "), name(9), F.lit("\n"))
+    brands = t.part.select(b.alias("b")).distinct()
+    return brands.select(F.concat(F.lit("PK_Brand"), F.col("b").cast("string")).alias("system"), text.alias("text"), F.array(F.lit("Sheet1")).alias("sheets"), F.array(F.concat(name(11), F.lit(" 시스템"))).alias("declared"))
+
+
+_REFERENCES = """b AS (SELECT DISTINCT replace(p_brand, 'Brand#', '')::INTEGER AS b FROM part
+), s AS (SELECT 'PK_Brand' || b AS source, 'Brand' || b AS short, 'Brand' || ((b * 3) % 25 + 1) AS n3, 'Brand' || ((b * 5) % 25 + 1) AS n5, 'Brand' || ((b * 7) % 25 + 1) AS n7, 'Brand' || ((b * 11) % 25 + 1) AS n11 FROM b
+), found AS (
+    SELECT source, 'PK_' || n3 AS ref, 'prefix' AS rule FROM s WHERE 'PK_' || n3 <> source
+    UNION SELECT a.source, coalesce(min(k.source) FILTER (k.short = a.n5), min(k.source) FILTER (contains(k.short, a.n5) OR contains(a.n5, k.short))), 'cell' FROM s a JOIN s k ON contains(k.short, a.n5) OR contains(a.n5, k.short) GROUP BY a.source
+    UNION SELECT a.source, k.source, 'heading' FROM s a JOIN s k ON contains('About ' || a.n7, k.short) AND k.source <> a.source
+    UNION SELECT a.source, min(k.source), 'declared' FROM s a JOIN s k ON (contains(k.short, a.n11) OR contains(a.n11 || ' 시스템', k.short)) AND k.source <> a.source GROUP BY a.source
+)"""
+
+
+@query(f"WITH {_REFERENCES} SELECT * FROM found")
+def extracted_edges(t):
+    """What systems refer to, by rule."""
+    return graph.extracted_edges(system_texts(t))
+
+
+@query(f"WITH {_REFERENCES}, e AS (SELECT source, ref FROM found WHERE source <> ref AND ref IN (SELECT source FROM s)) SELECT source AS src, ref AS dst FROM e UNION SELECT ref, source FROM e")
+def related_systems(t):
+    """The same with names resolved to systems, in both directions."""
+    return graph.related_systems(system_texts(t))
