@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import book, extracts, forms, machines, pipeline_state, records, searching, tables, texts, wiki  # noqa: F401  (they fill the book)
+from .plans import book, extracts, forms, lookups, machines, pipeline_state, records, searching, tables, texts, wiki  # noqa: F401  (they fill the book)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
