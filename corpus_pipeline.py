@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.lineage import owned, remove, shared_dir
 from quarry.llm import stages
-from quarry.llm.shared import shared_dir
 
 STAGES = [
     ("language_id", stages.known_language),
@@ -22,10 +22,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written to the shared folder and read again by the next."""
+    """Applies the stages to documents, each written to the shared folder and read again by the next.
+
+    What a stage has cut goes when it is written, and its own table when the next one is.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at = f"{shared_dir(spark)}/quarry/pipeline-{uuid.uuid4().hex}"
+    at, before = f"{shared_dir(spark)}/quarry/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{at}/{name}")
-        docs = spark.read.parquet(f"{at}/{name}")
+        with owned(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{at}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{at}/{name}"
+        docs = spark.read.parquet(before)
     return docs
