@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry import evaluation
+from quarry.documents import grid
 from quarry.functions import text as X
 from quarry.operators import change, events, joins, ranking, views
-from quarry.search import lexical, lookup
+from quarry.search import lexical, lookup, retrieval
 
 from .book import query
 
@@ -160,3 +162,65 @@ def merged_objects(t):
     left, right = F.to_json(F.struct(k.alias("id"), F.lit("old").alias("name"))), F.to_json(F.struct(F.col("n_name").alias("name"), F.concat(F.lit("r"), r).alias("region")))
     merged = F.from_json(X.merged_json(left, right), "id string, name string, region string")
     return t.nation.select("n_nationkey", F.to_json(merged).alias("merged"))
+
+
+_GRID = """g AS (SELECT p_brand AS sheet, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS row, p_name, p_type, p_size FROM part
+), cells AS (SELECT sheet, row, 1 AS col, p_name AS value, p_size FROM g UNION ALL SELECT sheet, row, 2, p_type, p_size FROM g UNION ALL SELECT sheet, row, 3, '', p_size FROM g UNION ALL SELECT sheet, row, CASE WHEN p_size % 2 = 0 THEN 4 ELSE 6 END, 's' || p_size, p_size FROM g)"""
+
+
+def _grid(t):
+    row = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey"))
+    g = t.part.select(F.col("p_brand").alias("sheet"), row.alias("row"), "p_name", "p_type", "p_size")
+    cell = lambda col, value: F.struct(col.alias("col"), value.alias("value"))
+    last = cell(F.when(F.col("p_size") % 2 == 0, 4).otherwise(6), F.concat(F.lit("s"), F.col("p_size").cast("string")))
+    cells = g.select("sheet", "row", F.inline(F.array(cell(F.lit(1), F.col("p_name")), cell(F.lit(2), F.col("p_type")), cell(F.lit(3), F.lit("")), last)))
+    merges = g.where("p_size % 2 = 0").select("sheet", F.col("row").alias("min_row"), F.lit(2).alias("min_col"), F.col("row").alias("max_row"), F.lit(3).alias("max_col"))
+    return cells, merges
+
+
+@query(f"""WITH {_GRID} SELECT a.sheet, a.row::INTEGER AS row, a.col, CASE WHEN a.col = 3 AND a.p_size % 2 = 0 THEN b.value ELSE a.value END AS value FROM cells a JOIN cells b ON b.sheet = a.sheet AND b.row = a.row AND b.col = 2""")
+def merged_cells(t):
+    """Values of merged ranges in all of their places."""
+    return grid.filled(*_grid(t))
+
+
+@query(f"""WITH {_GRID} SELECT DISTINCT sheet, row::INTEGER AS row, 1 AS first, 4 AS last, 4::BIGINT AS size FROM cells WHERE p_size % 2 = 0""")
+def header_runs(t):
+    """Runs of neighbouring filled cells of three or more, once merged cells are filled."""
+    return grid.clusters(grid.filled(*_grid(t))).select("sheet", "row", "first", "last", "size")
+
+
+_CHUNKS = """c AS (SELECT p_partkey::VARCHAR AS id, p_brand AS workbook, p_type AS sheet, p_name AS section_path, p_name || ' ' || p_size AS text, (p_size * 10)::BIGINT AS tokens FROM part)"""
+
+
+def _chunks(t):
+    return t.part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("workbook"), F.col("p_type").alias("sheet"), F.col("p_name").alias("section_path"), F.concat_ws(" ", "p_name", "p_size").alias("text"), (F.col("p_size") * 10).cast("bigint").alias("tokens"))
+
+
+@query(f"""WITH {_CHUNKS}, s AS (SELECT *, 0.6 + 0.3 * (contains(lower(text), 'cold')::INT + contains(lower(text), 'bolt')::INT) / 2.0 + CASE WHEN contains(lower(section_path), 'cold') OR contains(lower(section_path), 'bolt') THEN 0.2 ELSE 0 END AS score FROM c WHERE workbook IN ('Brand#11', 'Brand#12', 'Brand#13'))
+SELECT id, round(round_even(score, 9)::DOUBLE * 0.5, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY workbook ORDER BY round_even(score, 9) DESC, id) AS n FROM s) WHERE n <= 3""")
+def graph_neighbours(t):
+    """The best chunks of a system's neighbours, at half their score."""
+    edges = t.spark.range(3).select(F.lit("Brand#1").alias("src"), F.concat(F.lit("Brand#1"), (F.col("id") + 1).cast("string")).alias("dst"))
+    out = retrieval.graph_layer(_chunks(t), edges, ["Brand#1"], "cold bolt")
+    return out.select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_CHUNKS}, h AS (SELECT workbook, sheet, max(tokens)::DOUBLE AS score FROM c WHERE tokens > 480 GROUP BY ALL), z AS (SELECT c.workbook, c.sheet, score, sum(tokens) AS size FROM c JOIN h USING (workbook, sheet) GROUP BY c.workbook, c.sheet, score
+), u AS (SELECT *, sum(size) OVER (ORDER BY score DESC, workbook, sheet) AS upto FROM z), l AS (SELECT workbook, sheet, 6000 - upto + size AS room FROM u WHERE (size <= 6000 - upto + size OR 6000 - upto + size >= 500) AND 6000 - upto + size > 0)
+SELECT id FROM (SELECT c.id, room, sum(tokens) OVER (PARTITION BY c.workbook, c.sheet ORDER BY c.id) AS upto FROM c JOIN l USING (workbook, sheet)) WHERE upto <= room""")
+def whole_sheets(t):
+    """All chunks of the best hits' sheets within a budget of tokens."""
+    hits = _chunks(t).where("tokens > 480").withColumn("score", F.col("tokens").cast("double"))
+    return retrieval.whole_sheets(_chunks(t), hits, budget=6000).select("id")
+
+
+@query("""WITH a(alias, target, weight) AS (SELECT DISTINCT lower(p_name), p_name, 1.0 FROM part), q AS (SELECT page_id, (SELECT min(lower(p_name)) FROM part WHERE p_partkey = page_id) AS one, (SELECT min(lower(p_name)) FROM part WHERE p_partkey = page_id + 1) AS two FROM pages)
+SELECT page_id AS query_id, a.target, a.alias FROM q JOIN a ON a.alias = one OR a.alias = two""")
+def alias_places(t):
+    """Names in questions, longest first, none over places already taken."""
+    names = t.part.select("p_partkey", F.lower("p_name").alias("n"))
+    one, two = (names.select((F.col("p_partkey") - k).alias("query_id"), F.col("n").alias(f"n{k}")) for k in (0, 1))
+    asked = t.pages.select(F.col("page_id").alias("query_id")).join(one, "query_id").join(two, "query_id").select("query_id", F.concat_ws(" or ", F.lit("is it"), "n0", "n1").alias("query"))
+    aliases = t.part.select(F.lower("p_name").alias("alias"), F.col("p_name").alias("target"), F.lit(1.0).alias("weight")).distinct()
+    return retrieval.alias_hits(asked, aliases)
