@@ -26,6 +26,8 @@ from .words import slices, text_buffer
 
 #: Bytes of the subwords; their hashed numbers; words of a window.
 SHORTEST, LONGEST, BUCKETS, WINDOW = 3, 6, 1 << 20, 4
+#: Bytes of a very long text that are looked at together.
+PIECE = 1 << 21
 _APART = np.zeros(256, bool)
 _APART[[0x20, *range(0x09, 0x0E), *b".,;:!?\"()[]"]] = True
 
@@ -75,7 +77,14 @@ class Model:
     bias: float
 
     def odds(self, column) -> np.ndarray:
-        """Log odds of each text's most toxic window."""
+        """Log odds of each text's most toxic window; a text beyond ``PIECE`` bytes is read in pieces that share the words of a window."""
+        data, offsets = text_buffer(column)
+        if len(offsets) == 2 and len(data) > PIECE:
+            parts = [data[a:b].tobytes() for a, b in pieces(data)]
+            return np.array([max(self._odds(pa.array([part], pa.large_binary()))[0] for part in parts)])
+        return self._odds(column)
+
+    def _odds(self, column) -> np.ndarray:
         found = bags(column)
         n_words = int(found.bounds[-1])
         total = np.bincount(found.word, self.weight[found.subword], n_words)
@@ -86,6 +95,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.odds(column), -500, 500)))
 
 
+def pieces(data: np.ndarray, size: int | None = None) -> list[tuple[int, int]]:
+    """Ranges of a text's bytes, of about ``size`` or one word, whose windows are together those of the text."""
+    size, at, out = size or PIECE, 0, []
+    while True:
+        high = at + size
+        # to the end of a word, and on until there is a whole window, or no more text
+        while True:
+            gap = np.flatnonzero(_APART[data[high : high + size]])
+            if high < len(data) and not len(gap):
+                high += size
+                continue
+            end = len(data) if high >= len(data) else high + int(gap[0])
+            apart = _APART[data[at:end]]
+            starts = np.flatnonzero(~apart & np.r_[True, apart[:-1]])
+            if len(starts) >= WINDOW or end == len(data):
+                break
+            high = end + size
+        if not out or len(starts) >= WINDOW:  # else all of its words were in the piece before
+            out.append((at, end))
+        if end == len(data):
+            return out
+        at += int(starts[-(WINDOW - 1)])
+
+
 def worst(total: np.ndarray, count: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text the greatest average of a window of words, and the window's first and last word; no words: 0 and nothing.
 
@@ -190,7 +223,7 @@ def classify(df: DataFrame, model: Model, text_col: str = "text", score_col: str
     """Adds the probability that a text is toxic and whether it is at least a half.
 
     Null, empty and blank texts have the score of no window, below a half where both labels were learned. Rows are judged alone, so repeated ones
-    are alike; an empty table gives no rows. Of a very long text every window counts; it takes some 120 bytes of memory for each of its own.
+    are alike; an empty table gives no rows. Of a very long text every window counts; it is read in pieces, so only its longest word bounds the memory it takes.
     All columns stay; one named like an added one is replaced.
     """
     df = df.drop(score_col, predicted_col)

@@ -149,3 +149,23 @@ def test_windows_against_brute_force():
             windows = [(i, min(i + 4, b)) for i in range(a, max(a + 1, b - 3))] if b > a else []
             want = max((total[i:j].sum() / count[i:j].sum() for i, j in windows), default=0)
             assert abs(best[d] - want) < 1e-9 and (not windows or abs(total[low[d] : high[d]].sum() / count[low[d] : high[d]].sum() - want) < 1e-9)
+
+
+def test_pieces_have_the_windows_of_the_text():
+    rng = np.random.default_rng(2)
+    for size in (1, 3, 10, 50):
+        for n in (0, 1, 3, 4, 5, 40):
+            own = [rng.choice(list(b"abc.,"), rng.integers(1, 30)).astype(np.uint8).tobytes() for _ in range(n)]
+            data = np.frombuffer(bytes(rng.choice([b" ", b"\n  ", b""])) + b" ".join(own) + bytes(rng.choice([b"", b" . "])), np.uint8)
+            split = lambda part: re.findall(rb'[^ \t-\r.,;:!?"()\[\]]+', bytes(part))
+            windows = lambda ws: {tuple(ws[i : i + 4]) for i in range(max(1, len(ws) - 3))}
+            found = toxicity.pieces(data, size)
+            assert set().union(*(windows(split(data[a:b])) for a, b in found)) == windows(split(data))
+            assert len(found) <= len(split(data)) + 1
+
+
+def test_very_long_texts_are_read_in_pieces(model, monkeypatch):
+    text = "the house by the river was sold " * 3000 + "pathetic " + "in the autumn of that year " * 3000
+    whole = model.odds(pa.array([text]))
+    monkeypatch.setattr(toxicity, "PIECE", 5000)
+    assert np.allclose(model.odds(pa.array([text])), whole) and whole[0] > 0
