@@ -68,12 +68,16 @@ def page_markdown(t):
     return t.pages.select("page_id", udfs.html_to_markdown("html").alias("markdown"))
 
 
-@query()
+_BODY = r"d AS (SELECT doc_id, trim(text, chr(9) || chr(10) || chr(13) || ' ') AS text FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"WITH {_BODY} SELECT doc_id, 0 AS position, '' AS heading, text FROM d WHERE text <> ''")
 def document_sections(t):
     return markdown.sections(t.documents)
 
 
-@query()
+@query(rf"""WITH {_BODY} SELECT doc_id, 0 AS chunk, '' AS heading, greatest(1, floor(length(text) * 0.5))::INTEGER AS tokens, regexp_matches(text, '\|.*\|.*\|') AS has_table, contains(text, '```mermaid') AS has_mermaid,
+    regexp_matches(text, '!\[[^\]]*\]\(') AS has_images FROM d WHERE text <> ''""")
 def document_chunks(t):
     return markdown.chunks(t.documents).select("doc_id", "chunk", "heading", "tokens", "has_table", "has_mermaid", "has_images")
 
@@ -169,7 +173,12 @@ def fused_scores(t):
     return out.select("id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT doc_id AS id, source AS workbook, n_chars / 1000.0::DOUBLE AS score, greatest(1, floor(length(text) * 0.5))::INTEGER AS tokens FROM documents
+), own AS (SELECT *, row_number() OVER (ORDER BY workbook, score DESC, id) AS p FROM (SELECT *, row_number() OVER (PARTITION BY workbook ORDER BY score DESC, id) AS n FROM r WHERE workbook IN ('src0', 'src1', 'src2')) WHERE n <= 10
+), w AS (SELECT 0::BIGINT AS p, 0::BIGINT AS used, NULL::BIGINT AS id, false AS took UNION ALL SELECT o.p, CASE WHEN used + tokens <= 60000 THEN used + tokens ELSE used END, o.id, used + tokens <= 60000 FROM w JOIN own o ON o.p = w.p + 1
+), first AS (SELECT id FROM w WHERE took), room AS (SELECT 60000 - max(used) AS room, 30 - count(*) FILTER (took) AS n FROM w
+), rest AS (SELECT *, sum(tokens) OVER (ORDER BY score DESC, id) AS upto, row_number() OVER (ORDER BY score DESC, id) AS n FROM r WHERE id NOT IN (SELECT id FROM first))
+SELECT id, workbook, score, tokens FROM r WHERE id IN (SELECT id FROM first) UNION ALL SELECT id, workbook, score, tokens FROM rest WHERE upto <= (SELECT room FROM room) AND n <= (SELECT n FROM room)""")
 def assembled_context(t):
     ranked = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("workbook"), (F.col("n_chars") / 1000.0).alias("score"), X.estimated_tokens(F.col("text")).alias("tokens"))
     return retrieval.assembled(ranked, ["src0", "src1", "src2"], 30, 60000)
