@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,10 @@ REGISTRY, ENUM_FOLDER = "TableAttribute.xlsx", "Enum"
 REPORT = "file string, sheet string, table_name string, column_count int, row_count bigint, registered boolean, status string"
 
 
+#: Tables that are written at one time.
+AT_ONCE = 16
+
+
 def registry(cells: DataFrame) -> DataFrame:
     """(table_name, cs, only_schema): tables of the registry's cells, a row each from the second on; ``cs`` is ``cs`` where it is left out.
 
@@ -50,17 +55,25 @@ def ingest(spark: SparkSession, folder: str, into: str, dry_run: bool = False) -
     found = xlsx.table_columns(own).groupBy("file", "sheet").agg(F.count(F.lit(1)).cast("int").alias("column_count")).join(counts, ["file", "sheet"], "left")
     registered = known.select(F.col("table_name").alias("sheet"), F.lit(True).alias("registered"))
     sheets = found.join(registered, "sheet", "left").orderBy("file", "sheet").collect()  # facts of a row for each sheet, not of its cells
-    seen, report, tables = set(), [], {}
+    seen, plan, tables = set(), [], {}
     for s in sheets:
         name = stored_name(s["sheet"])
-        status = "duplicate" if name.lower() in seen else "parsed" if dry_run else "stored"
+        plan.append((s, name, "duplicate" if name.lower() in seen else "parsed" if dry_run else "stored"))
         seen.add(name.lower())
+
+    def store(part):
+        s, name, status = part
         n = s["filled"] or 0
         if status == "stored":
             xlsx.table(own, s["sheet"], s["file"]).write.mode("overwrite").option("compression", "zstd").parquet(f"{into}/{name}")
             tables[name] = spark.read.parquet(f"{into}/{name}")
             n = tables[name].count()
-        report.append((s["file"], s["sheet"], name, s["column_count"], n, bool(s["registered"]), status))
+        return (s["file"], s["sheet"], name, s["column_count"], n, bool(s["registered"]), status)
+
+    # tables have schemas of their own, so each is a write; many small ones are under way at once
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        report = list(pool.map(store, plan))
+    tables = {name: tables[name] for _, name, status in plan if status == "stored"}
     result = spark.createDataFrame(report, REPORT)
     save = lambda df, name: df.write.mode("overwrite").parquet(f"{into}/{name}")
     save(result, "_report")
