@@ -64,7 +64,7 @@ def json_objects(texts) -> Column:
     """Array of the JSON objects of a text, in order, as their own text; objects in objects aren't told apart.
 
     Braces in strings don't count. An object that the end cuts off is closed, without the member or element that isn't finished. What can't be read as an
-    object is passed over, and looked into for others. Null text has no array, a text without objects an empty one.
+    object is passed over whole, or, if its brackets don't pair, looked into for others. Null text has no array, a text without objects an empty one.
     """
 
     def each(column: pd.Series) -> pd.Series:
