@@ -26,8 +26,8 @@ from .words import slices, text_buffer
 
 #: Bytes of the subwords; their hashed numbers; words of a window.
 SHORTEST, LONGEST, BUCKETS, WINDOW = 3, 6, 1 << 20, 4
-#: Bytes of a very long text that are looked at together.
-PIECE = 1 << 21
+#: Bytes of texts, or of a very long text, that are looked at together; each takes some 150 bytes of memory.
+PIECE = 1 << 19
 _APART = np.zeros(256, bool)
 _APART[[0x20, *range(0x09, 0x0E), *b".,;:!?\"()[]"]] = True
 
@@ -235,7 +235,7 @@ def classify(df: DataFrame, model: Model, text_col: str = "text", score_col: str
     def score(batches):
         for batch in batches:
             texts = batch.column(lower)
-            found = [shipped.value.scores(texts.slice(low, high - low)) for low, high in slices(texts, 1 << 21)]
+            found = [shipped.value.scores(texts.slice(low, high - low)) for low, high in slices(texts, PIECE)]
             scores = np.concatenate(found) if found else np.zeros(0)
             arrays = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != lower]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names)
