@@ -91,7 +91,7 @@ def plan_results(t):
 
 def _stored_postings(t) -> str:
     path = f"{shared_dir(t.spark)}/quarry/postings-{uuid.uuid4().hex}"
-    postings.write(postings.term_counts(t.documents), path, buckets=16)
+    postings.write(postings.term_counts(t.documents), path, buckets=16, tasks_a_bucket=postings.shares(t.documents))
     return path
 
 

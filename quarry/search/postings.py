@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Documents of a block; bits of the ids within one stretch.
 BLOCK, STRETCH_BITS = 1024, 16
+#: Documents whose words of one bucket are one task's.
+SHARE = 1 << STRETCH_BITS
 BLOCKS = "term string, stretch bigint, first bigint, last bigint, n int, most int, ids binary, counts binary"
 
 
@@ -85,13 +87,18 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.explode(words).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).cast("int").alias("count"))
 
 
+def shares(docs: DataFrame, id_col: str = "doc_id") -> int:
+    """Tasks a bucket that ``write`` needs for these documents: one for each ``SHARE`` of them, so that tasks get no larger as documents get more."""
+    return max(1, -(-docs.where(F.col(id_col).isNotNull()).count() // SHARE))
+
+
 def write(counts: DataFrame, path: str, buckets: int = 64, tasks_a_bucket: int = 1) -> None:
     """Writes posting lists of (term, id, count).
 
-    Words meet by bucket and stretch of ids, dealt to ``tasks_a_bucket`` tasks of each bucket, and are packed as they come, sorted; no term is held whole.
+    Words meet by bucket and stretch of ids, dealt to ``tasks_a_bucket`` tasks of each bucket (see ``shares``), and are packed as they come, sorted; no term is held whole.
     """
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    rows = counts.select("term", "id", "count", bucket.alias("bucket"), F.pmod(F.xxhash64(F.shiftright("id", STRETCH_BITS)), F.lit(tasks_a_bucket)).alias("share"))
+    rows = counts.select("term", "id", "count", bucket.alias("bucket"), F.pmod(F.shiftright("id", STRETCH_BITS), F.lit(tasks_a_bucket)).alias("share"))
     rows = rows.repartition(buckets * tasks_a_bucket, "bucket", "share").sortWithinPartitions("term", "id").select("term", "id", "count")
     packed = rows.mapInArrow(_blocks, BLOCKS).withColumn("bucket", bucket)
     packed.write.partitionBy("bucket").parquet(f"{path}/blocks")
