@@ -34,10 +34,12 @@ ENCODINGS = (
 )
 #: Least lengths of the strata within which discoveries are controlled.
 STRATA = (20, 28, 40, 64, 128)
-#: Words of prose, and characters of each text that examples of words written together are made from.
-WORD, PROSE = "[A-Za-z][a-z]{2,}", 320
-#: Runs with three or more stretches of digits are no words' source: most keys are such.
-DENSE = "[A-Za-z+/_-]*(?:[0-9]+[A-Za-z+/_-]+){3,}[0-9]*"
+#: Parts of a text whose words are put in order together; only a word as long as a part is cut.
+PART = r"(?s).{1,4000}(?=\s|\z)|.{1,4000}"
+#: Words of prose, and digits of the number that examples of words written together hold.
+WORD, NUMBER = "[A-Za-z][a-z]{2,}", 4
+#: Runs with three or more stretches of digits are no words' source: most keys are such. No run is tried from within, so long ones take no square.
+DENSE = "(?<![A-Za-z0-9+/_-])[A-Za-z+/_-]*+(?:[0-9]++[A-Za-z+/_-]++){3,}+[0-9]*+"
 #: Steps of -log10(p) by which p-values are counted, and the largest that is told apart.
 PER_DECADE, MOST = 50, 20
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -210,25 +212,35 @@ def code_runs(text: Column) -> Column:
 
 
 def words_together(text: Column) -> Column:
-    """(stratum, step) of runs that are no keys: words of a text, with capitals and a number, as long as each stratum's shortest.
+    """(stratum, step) of runs that are no keys: all words of a text, with capitals and a number in each run, in an order drawn by each part of some pages.
 
-    They are taken from ``PROSE`` characters at a place drawn by the text, in an order drawn by it; a text with too few words
-    gives none for the longer strata.
+    The words, written together, are cut into stretches that with their number are as long as each stratum's shortest, in turn; what
+    is left is a run of its own length, if it is long enough to be one. So each word is in a run, but for an end of 15 letters or fewer. A part
+    also begins with a run for each stratum, so short texts give some for all that they have words enough for.
     """
-    at = F.pmod(F.xxhash64(text, F.lit(3)), F.greatest(F.length(text) - PROSE, F.lit(0)) + 1).cast("int") + 1
-    prose = F.regexp_replace(F.substr(text, at, F.lit(PROSE)), DENSE, " ")
-    number = lambda p: F.pmod(F.hash(p, F.length(text)), F.lit(10_000)).cast("string")
-    each = F.array(*[F.struct(F.lit(k).alias("stratum"), F.lit(least).alias("least")) for k, least in enumerate(STRATA)])
-
-    def together(p, n):
-        found = F.regexp_extract_all(p, F.lit(WORD), F.lit(0))
-        drawn = F.sort_array(F.transform(found, lambda w, i: F.struct(F.hash(w, i, n).alias("order"), w.alias("w"))))
-        joined = F.array_join(F.transform(drawn, lambda d: F.concat(F.upper(F.left(d["w"], F.lit(1))), F.substr(d["w"], F.lit(2)))), "")
-        half = lambda e: F.floor(e["least"] / 2).cast("int")
-        run = lambda j, e: F.left(F.concat(F.left(j, half(e)), n, F.substr(j, half(e) + 1)), e["least"])
-        return _let(joined, lambda j: F.transform(F.filter(each, lambda e: e["least"] <= F.length(j)), lambda e: F.struct(e["stratum"].alias("stratum"), _judged(run(j, e)).alias("step"))))
-
-    return _let(prose, lambda p: _let(number(p), lambda n: together(p, n)))
+    letters = [least - NUMBER for least in STRATA]
+
+    def stretches(turn):
+        return F.filter(F.array(*[F.substr(turn, F.lit(sum(letters[:k]) + 1), F.lit(n)) for k, n in enumerate(letters)]), lambda s: F.length(s) >= letters[0])
+
+    def written(s, drawn):
+        number, half = F.lpad(F.pmod(F.hash(s, drawn), F.lit(10_000)).cast("string"), NUMBER, "0"), F.floor((F.length(s) + NUMBER) / 2).cast("int")
+        return F.concat(F.left(s, half), number, F.substr(s, half + 1))
+
+    def runs(joined, drawn):
+        first = F.filter(F.array(*[F.when(F.length(joined) >= n, F.left(joined, F.lit(n))) for n in letters[1:]]), lambda s: s.isNotNull())
+        turns = F.regexp_extract_all(joined, F.lit(f".{{1,{sum(letters)}}}"), F.lit(0))
+        made = F.transform(F.concat(first, F.flatten(F.transform(turns, stretches))), lambda s: written(s, drawn))
+        return F.transform(made, lambda r: F.struct(stratum(F.length(r)).alias("stratum"), _judged(r).alias("step")))
+
+    def together(found, drawn):
+        mixed = F.sort_array(F.transform(found, lambda w, i: F.struct(F.hash(w, i, drawn).alias("order"), w.alias("w"))))
+        joined = F.array_join(F.transform(mixed, lambda d: F.concat(F.upper(F.left(d["w"], F.lit(1))), F.substr(d["w"], F.lit(2)))), "")
+        return _let(joined, lambda j: runs(j, drawn))
+
+    words = lambda p: F.regexp_extract_all(F.regexp_replace(p, DENSE, " "), F.lit(WORD), F.lit(0))
+    parts = F.regexp_extract_all(text, F.lit(PART), F.lit(0))
+    return F.flatten(F.transform(parts, lambda p: _let(F.hash(p), lambda drawn: together(words(p), drawn))))
 
 
 BASE, RUNS, WORDS = "base spans", "code runs", "words together"
