@@ -27,7 +27,7 @@ FIELDS = ("kind", "file", "sheet", "header", "key", "row", "col", "cell")
 
 
 def _meaningful(name):
-    capitals = (F.upper(name) == name) & (F.lower(name) != name) & ~F.contains(name, F.lit("_")) & (F.length(name) <= SHORT_CAPITALS)
+    capitals = (F.length(name) <= SHORT_CAPITALS) & ~F.contains(name, F.lit("_")) & (F.upper(name) == name) & (F.lower(name) != name)
     return (F.length(name) >= LEAST) & ~name.isin(*STOP_WORDS) & ~capitals
 
 
@@ -66,19 +66,29 @@ def cells_of_tables(tables: dict[str, DataFrame], file: str = "") -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def places(cells: DataFrame) -> DataFrame:
+def sheets_of_tables(tables: dict[str, DataFrame], file: str = "") -> DataFrame:
+    """(file, sheet) of the cells of ``cells_of_tables``, without reading them: each table has the names of its columns as cells."""
+    named = F.array(*[F.struct(F.lit(file).alias("file"), F.lit(name).alias("sheet")) for name in tables])
+    return next(iter(tables.values())).sparkSession.range(1).select(F.inline(named))
+
+
+def places(cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
     """(token, FIELDS): each name once for each cell it stands in, and names of files and sheets as a whole if they name something.
 
-    A file or sheet without cells isn't known. Repeated cells are places each.
+    A file or sheet without cells isn't known. Repeated cells are places each. ``sheets``: the (file, sheet) of all cells, where they are known
+    otherwise (``sheets_of_tables``); without it cells are gone through once more for them.
     """
-    names = F.array_distinct(F.filter(F.flatten(F.array(*[F.regexp_extract_all("cell", F.lit(form), F.lit(0)) for form in (X.JOINED, X.CAMEL, X.UPPER)])), _meaningful))
-    found = cells.select(F.explode(names).alias("token"), *FIELDS)
-    sheets = cells.select("file", "sheet").distinct()
+    # a form is looked for only in cells that hold what it can't do without
+    form = lambda has, pattern: F.when(has, F.regexp_extract_all("cell", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    joined, humped = F.contains("cell", F.lit("_")), F.rlike("cell", F.lit("[a-z][A-Z]"))
+    names = F.array_distinct(F.concat(form(joined, X.JOINED), form(humped, X.CAMEL), form(joined, X.UPPER)))
+    found = cells.select(F.explode(names).alias("token"), *FIELDS).where(_meaningful(F.col("token")))
     none = lambda c, kind: F.lit(None).cast(kind).alias(c)
     rest = [none("header", "string"), none("key", "string"), none("row", "long"), none("col", "int")]
-    files = sheets.select("file").distinct().where(_meaningful(F.col("file"))).select(F.col("file").alias("token"), F.lit("filename").alias("kind"), "file", F.lit("").alias("sheet"), *rest, F.col("file").alias("cell"))
-    titles = sheets.where(_meaningful(F.col("sheet"))).select(F.col("sheet").alias("token"), F.lit("sheet").alias("kind"), "file", "sheet", *rest, F.col("sheet").alias("cell"))
-    return files.unionByName(titles).unionByName(found)
+    title = lambda kind, sheet, name: F.struct(F.col(name).alias("token"), F.lit(kind).alias("kind"), "file", sheet.alias("sheet"), *rest, F.col(name).alias("cell"))
+    sheets = (cells if sheets is None else sheets).select("file", "sheet").distinct()
+    titles = sheets.select(F.inline(F.array(title("filename", F.lit(""), "file"), title("sheet", F.col("sheet"), "sheet")))).distinct().where(_meaningful(F.col("token")))
+    return titles.unionByName(found)
 
 
 def index(places: DataFrame, n: int = 3) -> DataFrame:
@@ -88,11 +98,15 @@ def index(places: DataFrame, n: int = 3) -> DataFrame:
     """
     kind_rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     order = ["file", "sheet", kind_rank, "row", "key", "col", "cell"]
-    counts = places.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_set("kind")).alias("kinds"))
-    # row_number with a bound is cut in each task before rows move
-    first = places.withColumn("place", F.row_number().over(W.partitionBy("token").orderBy(*order))).where(F.col("place") <= n)
-    first = first.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("place", *FIELDS))).alias("first"))
-    return counts.join(first.select("token", F.transform("first", lambda x: x.dropFields("place")).alias("first")), "token")
+    # rows are ordered by a number first: many tokens begin alike, and comparing them is slow
+    places = places.withColumn("hash ", F.xxhash64("token"))
+    # counted by token and kind in fixed width first, so that cells make no set for each token
+    counts = places.groupBy("hash ", "token", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("hash ", "token").agg(F.sum("n").alias("count"), F.array_sort(F.collect_set("kind")).alias("kinds"))
+    # row_number with a bound is cut in each task before rows move; what is left is in order, so the first place takes those after it along
+    by = W.partitionBy("hash ", "token").orderBy(*order)
+    first = places.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n)
+    first = first.withColumn("first", F.collect_list(F.struct(*FIELDS)).over(by.rowsBetween(0, max(n - 1, 0)))).where(F.col("place") == 1)
+    return counts.join(first.select("hash ", "token", "first"), ["hash ", "token"]).drop("hash ")
 
 
 def tokens_by_kind(places: DataFrame) -> DataFrame:

@@ -96,12 +96,17 @@ def _named_tables(t):
     """Typed tables whose values hold names in camel case, with underscores and in capitals."""
     camel = lambda c: F.replace(F.initcap(c), F.lit(" "), F.lit(""))
     part = t.part.select(F.col("p_partkey").cast("string").alias("PartKey"), camel("p_name").alias("part_name"), F.concat_ws("_", "p_type", F.concat(F.lit("SIZE"), "p_size")).alias("SizeClass"), "p_size")
-    bought = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    line = bought.select(F.concat_ws("_", F.lit("Line"), F.concat(F.lit("Q"), F.col("l_orderkey").cast("string"))).alias("LineKey"), F.concat(F.lit("see "), camel("p_name"), F.lit(" or "), "l_returnflag").alias("note"), "l_quantity")
+    bought = t.lineitem.join(t.part.select("p_partkey", camel("p_name").alias("name")), F.col("l_partkey") == F.col("p_partkey"))
+    line = bought.select(F.concat_ws("_", F.lit("Line"), F.concat(F.lit("Q"), F.col("l_orderkey").cast("string"))).alias("LineKey"), F.concat(F.lit("see "), "name", F.lit(" or "), "l_returnflag").alias("note"), "l_quantity")
     sold = t.orders.select(F.col("o_orderkey").alias("order_key"), F.concat(F.lit("Buyer_C"), F.col("o_custkey").cast("string")).alias("BuyerName"))
     return {"PartSheet": part, "lines": line, "ORDER": sold}
 
 
+def _places(t):
+    named = _named_tables(t)
+    return token_scan.places(token_scan.cells_of_tables(named, "ShopBook"), token_scan.sheets_of_tables(named, "ShopBook"))
+
+
 _PLACES = r"""WITH camel AS (SELECT p_partkey, p_type, p_size, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), '') AS name FROM part
 ), cells AS (
     SELECT 'PartSheet' AS sheet, 'kv-key' AS kind, 1 AS col, 'PartKey' AS header, p_partkey::VARCHAR AS key, p_partkey::VARCHAR AS cell FROM camel UNION ALL SELECT 'PartSheet', 'cell', 2, 'part_name', p_partkey::VARCHAR, name FROM camel
@@ -124,12 +129,12 @@ _PLACES = r"""WITH camel AS (SELECT p_partkey, p_type, p_size, array_to_string(l
 SELECT token, count(*) AS count, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds,
     string_agg(sheet || '/' || kind || '/' || coalesce(header, '') || '/' || coalesce(key, ''), ' ' ORDER BY place) FILTER (place <= 3) AS first FROM numbered GROUP BY token""")
 def token_index(t):
-    """Names in all cells of several tables with their first three places, in one scan."""
-    out = token_scan.index(token_scan.places(token_scan.cells_of_tables(_named_tables(t), "ShopBook")), 3)
+    """Names in all cells of several tables with their first three places."""
+    out = token_scan.index(_places(t), 3)
     place = lambda x: F.concat_ws("/", x["sheet"], x["kind"], F.coalesce(x["header"], F.lit("")), F.coalesce(x["key"], F.lit("")))
     return out.select("token", "count", F.array_join("kinds", ",").alias("kinds"), F.array_join(F.transform("first", place), " ").alias("first"))
 
 
 @query(_PLACES + " SELECT kind, count(DISTINCT token) AS tokens, count(*) AS places FROM places GROUP BY kind")
 def tokens_of_kinds(t):
-    return token_scan.tokens_by_kind(token_scan.places(token_scan.cells_of_tables(_named_tables(t), "ShopBook")))
+    return token_scan.tokens_by_kind(_places(t))
